@@ -43,5 +43,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_bpe_automaton, op4_token_files, op5_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_bpe_automaton, op4_token_files, op5_simhash)}
+
+
+def _oracles() -> dict[str, str]:
+    from . import quality_rules
+
+    return {"op2_quality_rules": quality_rules.oracle_sql()}
+
+
+ORACLE_SQL = _oracles()
