@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -185,6 +186,12 @@ class AutomatonTokenizer:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def automaton_tokenizer(vocabulary: str) -> AutomatonTokenizer:
+    """The worker's automaton: compiled once, and the next task that it runs finds the caches filled."""
+    return AutomatonTokenizer(vocabulary)
+
+
 def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encode and decode each text of ``docs`` (doc_id, text): number of ids, SHA-256 of the ids and of the decoded text.
 
@@ -193,10 +200,9 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = None
+        tokenizer = automaton_tokenizer(vocabulary)
+        decimal = list(map(str, range(len(tokenizer.labels))))
         for batch in batches:
-            tokenizer = tokenizer or AutomatonTokenizer(vocabulary)
-            decimal = list(map(str, range(len(tokenizer.labels))))
             rows = []
             for text in batch["text"]:
                 ids = tokenizer.encode(text or "")
@@ -211,5 +217,5 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def ids_of(texts: list[str], vocabulary: str) -> list[list[int]]:
     """Ids of a few texts, without Spark."""
-    tokenizer = AutomatonTokenizer(vocabulary)
+    tokenizer = automaton_tokenizer(vocabulary)
     return [tokenizer.encode(t) for t in texts]

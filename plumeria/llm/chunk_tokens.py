@@ -1,25 +1,53 @@
 """Token ids by the tokenizers library, one white-space chunk at a time.
 
-The vocabulary ``word_bpe_49k`` drops white space and never joins what it separates, so the ids of
-a text are the ids of its chunks, one after another, and each worker asks the library once for each
-different chunk that its bounded cache holds.
+The vocabulary ``word_bpe_49k`` ignores case and drops white space, and never joins what white space
+separates, so the ids of a text are the ids of its chunks, one after another. Each worker asks the
+library once for each different word that its bounded cache holds, over all tasks that it runs.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+from functools import lru_cache
 
-#: Chunks that a worker's cache holds before it starts anew.
-CACHE_CHUNKS = 300_000
+#: Entries of one generation of a cache; it keeps two, and forgets the older one when the newer is full.
+CACHE_ENTRIES = 200_000
 #: A longer chunk is encoded each time, so that the cache's bytes have a bound too.
-CACHED_CHUNK_BYTES = 64
+CACHED_BYTES = 48
+#: Bytes of text that are split into chunks at a time.
+SLICE_BYTES = 1 << 20
+PUNCTUATION = b".,"
+
+
+class Cache:
+    """The entries used last: what is found in the older generation moves to the newer one."""
+
+    def __init__(self):
+        self.new, self._old = {}, {}
+
+    def recall(self, keys: set) -> set:
+        """Of ``keys``, which are not in the newer generation, those that the older has not got either."""
+        old, unknown = self._old, set()
+        for k in keys:
+            if (v := old.get(k)) is None:
+                unknown.add(k)
+            else:
+                self.new[k] = v
+        return unknown
+
+    def settle(self) -> None:
+        """Between uses: start a new generation if the newer one is full."""
+        if len(self.new) > CACHE_ENTRIES:
+            self._old, self.new = self.new, {}
 
 
 class ChunkTokenizer:
     """Ids as little-endian unsigned 32-bit integers.
 
     Cutting at the ASCII white space bytes only is safe: the library's own ``\\s`` includes them, and
-    no normalization form composes across them.
+    no normalization form composes across them. So is lower-casing A-Z first, except in a text that may
+    spell a special token, and cutting off ``.`` and ``,`` after an ASCII letter.
     """
 
     def __init__(self, vocabulary: str):
@@ -28,22 +56,56 @@ class ChunkTokenizer:
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._cache: dict[bytes, bytes] = {}
+        self._chunks, self._cores = Cache(), Cache()
 
-    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        found = self._tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return {c: struct.pack(f"<{len(e)}I", *e.ids) for c, e in zip(chunks, found, strict=True)}
+    def _library(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            for w, e in zip(part, self._tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                yield w, struct.pack(f"<{len(e.ids)}I", *e.ids)
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """One string of bytes for each text; null counts as empty."""
-        cache, split = self._cache, [(t or "").encode().split() for t in texts]
-        missing = {c for chunks in split for c in chunks if c not in cache}
-        if len(cache) + len(missing) > CACHE_CHUNKS:
-            cache.clear()
-            missing = {c for chunks in split for c in chunks}
-        cache.update(self._encode(list(missing)))
-        out = [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
-        for c in missing:
-            if len(c) > CACHED_CHUNK_BYTES:
-                del cache[c]
+    def _encode(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Each chunk is a core and the punctuation after it."""
+        cut, known = {}, self._cores.new
+        for c in chunks:
+            core = c.rstrip(PUNCTUATION)
+            cut[c] = (core, c[len(core) :]) if core[-1:].isalpha() else (c, b"")
+        parts = {p for pair in cut.values() for p in pair if p}
+        found = {p: known[p] for p in parts if p in known}
+        unknown = self._cores.recall(parts - found.keys())
+        found |= {p: known[p] for p in parts - unknown}
+        for p, ids in self._library(list(unknown)):
+            found[p] = ids
+            if len(p) <= CACHED_BYTES:
+                known[p] = ids
+        self._cores.settle()
+        return {c: found[a] + found[b] if b else found[a] for c, (a, b) in cut.items()}
+
+    def _slice(self, texts: list[bytes]) -> list[bytes]:
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        known = self._chunks.new
+        unknown = self._chunks.recall({c for chunks in split for c in chunks if c not in known})
+        known.update(self._encode(unknown))
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for c in unknown:
+            if len(c) > CACHED_BYTES:
+                del known[c]
+        self._chunks.settle()
         return out
+
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """One string of bytes for each text; null counts as empty."""
+        held, size = [], 0
+        for t in texts:
+            held.append((t or "").encode())
+            size += len(held[-1])
+            if size >= SLICE_BYTES:
+                yield from self._slice(held)
+                held, size = [], 0
+        yield from self._slice(held)
+
+
+@lru_cache(maxsize=1)
+def chunk_tokenizer(vocabulary: str) -> ChunkTokenizer:
+    """The worker's tokenizer: the next task that it runs finds the cache filled."""
+    return ChunkTokenizer(vocabulary)

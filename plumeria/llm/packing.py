@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_tokens import ChunkTokenizer
+from .chunk_tokens import chunk_tokenizer
 
 #: Production parameters: permitted sequence lengths, and the cost of a sequence besides its length.
 CAPACITIES = (2048, 4096, 8192)
@@ -85,7 +85,7 @@ def best_fit_pack(docs: DataFrame, vocabulary: str, capacities: tuple[int, ...]
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, ids, lengths = ChunkTokenizer(vocabulary), [], []
+        tokenizer, ids, lengths = chunk_tokenizer(vocabulary), [], []
         for batch in batches:
             ids.append(batch["doc_id"].astype("Int64"))
             lengths.append(np.fromiter((len(x) // 4 + 1 for x in tokenizer.ids(batch["text"].tolist())), np.int64, len(batch)))

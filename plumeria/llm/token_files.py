@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_tokens import ChunkTokenizer
+from .chunk_tokens import chunk_tokenizer
 from .shared import filesystem, new_path, written
 
 #: Fixed values of the public formats.
@@ -108,7 +108,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, end = TaskContext.get(), struct.pack("<I", end_id)
         files, root = filesystem(path)
-        tokenizer, part, out, writer, made = ChunkTokenizer(vocabulary), 0, None, None, []
+        tokenizer, part, out, writer, made = chunk_tokenizer(vocabulary), 0, None, None, []
 
         def close():
             writer.finish()
