@@ -19,6 +19,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_pack
 
@@ -49,7 +53,40 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_bpe_automaton, op4_token_files, op5_simhash)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_grammar, score_toxicity
+
+    docs = documents(spark, sf_dir)
+    return score_toxicity(docs, fit_grammar(docs, labels(spark, sf_dir)))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import judge_urls, mine_rules, weak_labels
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return judge_urls(pages, mine_rules(weak_labels(pages)))
+
+
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fingerprint_edits
+
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
+def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mil_quality import fit_quality, score_quality
+
+    docs = documents(spark, sf_dir)
+    return score_quality(docs, fit_quality(docs, labels(spark, sf_dir))).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_bpe_automaton, op4_token_files, op5_simhash, op6_toxicity, op7_main_text, op8_url_rules, op9_merkle, op10_mil_quality)}
 
 
 def _oracles() -> dict[str, str]:

@@ -44,14 +44,15 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) of each row; fp holds the 64 bits as a long."""
+    """(doc_id, text_hash, fp) of each row; fp holds the 64 bits as a long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t, words) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array, "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").array, "text_hash": batch["text_hash"].array, "fp": fp.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 
 def _signed(bits: int) -> int:
@@ -165,6 +166,15 @@ def components(pairs: DataFrame) -> DataFrame:
         edges = written(star(star(edges, True), False), "links")
 
 
+def classes(marked: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each different fingerprint of ``marked`` (doc_id, fp); a table in the shared folder."""
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct.select("fp")))
+    nodes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return written(nodes.select("fp", "root").join(named, "root").select("fp", "root", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of ``docs`` (doc_id, text).
 
@@ -175,9 +185,18 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     back as often; an empty table gives no rows; other columns are ignored.
     """
     marked = written(fingerprints(docs, words), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp")))
-    nodes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(nodes.select("fp", "root").join(named, "root").select("fp", "component_id"), "classes")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(classes(marked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (null last), then of the least text hash.
+
+    Rows that share both are copies, and one of them stays.
+    """
+    marked = written(fingerprints(docs, words), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    kept = marked.join(classes(marked), "fp").groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
+    rows = docs.withColumns({"kept_hash": F.xxhash64(F.col("text").cast("string")), "kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "kept_null": F.col("doc_id").isNull()})
+    kept = kept.select(F.coalesce("kept_id", F.lit(-1)).alias("kept_id"), F.col("kept_id").isNull().alias("kept_null"), "kept_hash")
+    keys = ["kept_id", "kept_null", "kept_hash"]
+    return rows.join(kept, keys).dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
