@@ -8,38 +8,34 @@ library once for each different word that its bounded cache holds, over all task
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 #: Entries of one generation of a cache; it keeps two, and forgets the older one when the newer is full.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 350_000
 #: A longer chunk is encoded each time, so that the cache's bytes have a bound too.
 CACHED_BYTES = 48
-#: Bytes of text that are split into chunks at a time.
-SLICE_BYTES = 1 << 20
 PUNCTUATION = b".,"
 
 
-class Cache:
-    """The entries used last: what is found in the older generation moves to the newer one."""
+class Cache(dict):
+    """``cache[key]`` is ``make(key)``, kept while the key is in use: what the older generation has moves to the newer one."""
 
-    def __init__(self):
-        self.new, self._old = {}, {}
+    def __init__(self, make: Callable[[bytes], bytes]):
+        super().__init__()
+        self._make, self._old = make, {}
 
-    def recall(self, keys: set) -> set:
-        """Of ``keys``, which are not in the newer generation, those that the older has not got either."""
-        old, unknown = self._old, set()
-        for k in keys:
-            if (v := old.get(k)) is None:
-                unknown.add(k)
-            else:
-                self.new[k] = v
-        return unknown
-
-    def settle(self) -> None:
-        """Between uses: start a new generation if the newer one is full."""
-        if len(self.new) > CACHE_ENTRIES:
-            self._old, self.new = self.new, {}
+    def __missing__(self, key: bytes) -> bytes:
+        value = self._old.get(key)
+        if value is None:
+            value = self._make(key)
+            if len(key) > CACHED_BYTES:
+                return value
+        if len(self) >= CACHE_ENTRIES:
+            self._old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class ChunkTokenizer:
@@ -56,53 +52,25 @@ class ChunkTokenizer:
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._chunks, self._cores = Cache(), Cache()
-
-    def _library(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for w, e in zip(part, self._tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                yield w, struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def _encode(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Each chunk is a core and the punctuation after it."""
-        cut, known = {}, self._cores.new
-        for c in chunks:
-            core = c.rstrip(PUNCTUATION)
-            cut[c] = (core, c[len(core) :]) if core[-1:].isalpha() else (c, b"")
-        parts = {p for pair in cut.values() for p in pair if p}
-        found = {p: known[p] for p in parts if p in known}
-        unknown = self._cores.recall(parts - found.keys())
-        found |= {p: known[p] for p in parts - unknown}
-        for p, ids in self._library(list(unknown)):
-            found[p] = ids
-            if len(p) <= CACHED_BYTES:
-                known[p] = ids
-        self._cores.settle()
-        return {c: found[a] + found[b] if b else found[a] for c, (a, b) in cut.items()}
-
-    def _slice(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        known = self._chunks.new
-        unknown = self._chunks.recall({c for chunks in split for c in chunks if c not in known})
-        known.update(self._encode(unknown))
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for c in unknown:
-            if len(c) > CACHED_BYTES:
-                del known[c]
-        self._chunks.settle()
-        return out
-
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        self._cores, self._chunks = Cache(self._library), Cache(self._chunk)
+
+    def _library(self, core: bytes) -> bytes:
+        ids = self._tokenizer.encode(core.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        """A chunk is a core and the punctuation after it."""
+        core = chunk.rstrip(PUNCTUATION)
+        if len(core) < len(chunk) and core[-1:].isalpha():
+            return self._cores[core] + self._cores[chunk[len(core) :]]
+        return self._cores[chunk]
+
+    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """One string of bytes for each text; null counts as empty."""
-        held, size = [], 0
-        for t in texts:
-            held.append((t or "").encode())
-            size += len(held[-1])
-            if size >= SLICE_BYTES:
-                yield from self._slice(held)
-                held, size = [], 0
-        yield from self._slice(held)
+        look = self._chunks.__getitem__
+        for text in texts:
+            data = (text or "").encode()
+            yield b"".join(map(look, (data if b"<|" in data else data.lower()).split()))
 
 
 @lru_cache(maxsize=1)
