@@ -67,7 +67,7 @@ def child_code(parent: Column, index: Column) -> Column:
 def colour_index(parent_rank: Column, suffix: Column) -> Column:
     """Twenty colours for each parent; suffix letters as base-26 digits, at most 15."""
     digits = F.filter(F.split(suffix, ""), lambda x: x != "")
-    return parent_rank * 20 + F.least(F.lit(15), F.aggregate(digits, F.lit(0), lambda a, x: a * 26 + F.ascii(x) - 96))
+    return parent_rank * 20 + F.least(F.lit(15), F.aggregate(digits, F.lit(0), lambda a, x: a * 26 + F.ascii(x) - 97))
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -50,7 +51,7 @@ class KeywordClassifier:
     themes: dict[str, str] = field(default_factory=dict)
 
     def __call__(self, text: str) -> dict:
-        found = text.lower().split()
+        found = re.findall(r"\w+", text.lower())
         score = sum(w in self.words_for for w in found) - sum(w in self.words_against for w in found)
         stance = STANCES[0] if score > 0 else STANCES[1] if score < 0 else STANCES[2]
         return {"stance": stance, "key_quote": text.split(".")[0][:200], "rationale": f"score {score}", "themes": [t for w, t in self.themes.items() if w in found]}
