@@ -158,7 +158,8 @@ def learn_patterns(sample: DataFrame) -> dict[tuple[str, bool], tuple[str, float
             for text, y in zip(batch["text"], batch["y"], strict=True):
                 words = set(WORD.findall(text.lower()))
                 found = {(w, False) for w in words} | {(w[:k], True) for w in words for k in PREFIX_LENGTHS if len(w) >= k}
-                yield pd.DataFrame({"pattern": [p for p, _ in found], "begins": [b for _, b in found], "y": y, "signature": _signature(words)})
+                if found:
+                    yield pd.DataFrame({"pattern": [p for p, _ in found], "begins": [b for _, b in found], "y": y, "signature": _signature(words)})
 
     each = sample.mapInPandas(spread, "pattern string, begins boolean, y int, signature long")
     counted = each.groupBy("pattern", "begins", "signature").agg(F.max("y").alias("y")).groupBy("pattern", "begins").agg(F.sum("y").alias("hit"), F.sum(1 - F.col("y")).alias("miss"))
