@@ -90,14 +90,33 @@ class _Forest:
 
 
 def _links(group: np.ndarray, forest: _Forest) -> None:
-    """Join all fingerprints of a group that are within the radius, block by block."""
-    for at in range(0, len(group), COMPARED_AT_ONCE):
-        head = group[at : at + COMPARED_AT_ONCE]
+    """Join all fingerprints of a group that are within the radius.
+
+    In a large group, those that differ in one bit are found first by looking each flipped bit up. Pairs
+    that are already in the largest component need no comparison; all others are compared, block by
+    block.
+    """
+    if len(group) > COMPARED_AT_ONCE:
+        group = np.sort(group)
+        for bit in range(64):
+            flipped = group ^ np.uint64(1 << bit)
+            at = np.minimum(np.searchsorted(group, flipped), len(group) - 1)
+            for k in np.flatnonzero((group[at] == flipped) & (group < flipped)).tolist():
+                forest.join(int(group[k]), int(flipped[k]))
+    roots = np.fromiter((forest.root(x) for x in group.tolist()), np.uint64, len(group))
+    kinds, sizes = np.unique(roots, return_counts=True)
+    if len(kinds) == 1:
+        return
+    joined = roots == kinds[sizes.argmax()]
+    group = np.concatenate([group[~joined], group[joined]])
+    rest = len(group) - int(joined.sum())
+    for at in range(0, rest, COMPARED_AT_ONCE):
+        head = group[at : min(at + COMPARED_AT_ONCE, rest)]
         for to in range(at, len(group), 16 * COMPARED_AT_ONCE):
-            rest = group[to : to + 16 * COMPARED_AT_ONCE]
-            x, y = np.nonzero(np.bitwise_count(head[:, None] ^ rest[None, :]) <= RADIUS)
+            other = group[to : to + 16 * COMPARED_AT_ONCE]
+            x, y = np.nonzero(np.bitwise_count(head[:, None] ^ other[None, :]) <= RADIUS)
             ordered = x + at < y + to
-            for a, b in zip(head[x[ordered]].tolist(), rest[y[ordered]].tolist(), strict=True):
+            for a, b in zip(head[x[ordered]].tolist(), other[y[ordered]].tolist(), strict=True):
                 forest.join(a, b)
 
 

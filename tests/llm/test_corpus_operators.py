@@ -135,6 +135,19 @@ def test_links_at_every_distance(spark):
     assert groups(got) == groups(want)
 
 
+def test_links_in_a_large_group():
+    """Fewer comparisons, the same components as comparing all pairs."""
+    rng = np.random.default_rng(10)
+    for bits, size in ((14, 900), (40, 700), (10, 1500)):
+        flips = rng.integers(0, 2, (size, bits)) & rng.integers(0, 2, (size, bits))
+        group = np.unique((flips.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64))
+        forest, want = simhash._Forest(), simhash._Forest()
+        simhash._links(group, forest)
+        for i, j in zip(*np.nonzero(np.bitwise_count(group[:, None] ^ group[None, :]) <= 3), strict=True):
+            want.join(int(group[i]), int(group[j]))
+        assert [forest.root(x) for x in group.tolist()] == [want.root(x) for x in group.tolist()]
+
+
 def test_hash_is_sparks(spark):
     assert spark.sql("select xxhash64('a b c') x").first().x == int(np.uint64(xxhash.xxh64_intdigest("a b c", 42)).view(np.int64))
 
