@@ -63,7 +63,7 @@ def weighted_content(lookup: DataFrame, key: str = "cluster_id") -> DataFrame:
 
 def keywords(df: DataFrame, key: str, text: str, k: int = 10, stop: frozenset[str] = STOP_WORDS) -> DataFrame:
     """Most frequent words of three letters or more in each group, ties by the word; counted before they are ranked."""
-    found = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-zA-Z]{3,}\b"), F.lit(0))).alias("word"))
+    found = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-zA-Z]{3,}\b"), F.lit(0))).alias("word"))
     counted = found.filter(~F.col("word").isin(sorted(stop))).groupBy(key, "word").agg(F.count(F.lit(1)).alias("freq"))
     return top_n(counted, key, [F.desc("freq"), F.col("word")], k, "rank")
 

@@ -195,9 +195,9 @@ def agg_10_weighted_content(spark, sf):
 STOP = ", ".join(f"'{w}'" for w in sorted(stats.STOP_WORDS))
 
 
-@query(f"WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '\\b[a-zA-Z]{{3,}}\\b')) AS word FROM documents WHERE lang = 'en'), c AS (SELECT lang, word, count(*) AS freq FROM w WHERE word NOT IN ({STOP}) GROUP BY 1, 2) SELECT lang, word, freq, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word)::INTEGER AS rank FROM c) WHERE rank <= 10")
+@query(f"WITH w AS (SELECT lang, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}'))) AS word FROM documents), c AS (SELECT lang, word, count(*) AS freq FROM w WHERE word NOT IN ({STOP}) GROUP BY 1, 2) SELECT lang, word, freq, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word)::INTEGER AS rank FROM c) WHERE rank <= 10")
 def agg_11_keywords(spark, sf):
-    return stats.keywords(table(spark, sf, "documents").filter("lang = 'en'"), "lang", "text").select("lang", "word", "freq", "rank")
+    return stats.keywords(table(spark, sf, "documents"), "lang", "text").select("lang", "word", "freq", "rank")
 
 
 @query(f"WITH c AS (SELECT * FROM ({COMMENTS})), b AS (SELECT category, stance, count(*) AS n FROM c GROUP BY 1, 2), d AS (SELECT category, arg_max(stance, n) AS dominant FROM b WHERE stance IS NOT NULL GROUP BY 1) SELECT category, count(*) FILTER (stance IS DISTINCT FROM dominant) AS minority, round(count(*) FILTER (stance IS DISTINCT FROM dominant) / count(*), 6) AS rate, count(*) FILTER (stance IS DISTINCT FROM dominant) AS minority_comments FROM c JOIN d USING (category) GROUP BY 1")
@@ -322,9 +322,9 @@ def txt_01_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.normalize_for_dedup(F.col("text"))).alias("digest"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS preview, regexp_replace(left(text, 200), '(the)', '<mark>\\1</mark>', 'gi') AS marked FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS preview, md5(regexp_replace(text, '(the)', '<mark>\\1</mark>', 'gi')) AS marked FROM documents")
 def txt_13_highlight(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.preview(F.col("text"), 80).alias("preview"), T.highlight(F.substring("text", 1, 200), "the").alias("marked"))
+    return table(spark, sf, "documents").select("doc_id", T.preview(F.col("text"), 80).alias("preview"), F.md5(T.highlight(F.col("text"), "the")).alias("marked"))
 
 
 @query("SELECT doc_id, strpos(lower(text), 'pathetic')::INTEGER - 1 AS at FROM documents")

@@ -188,9 +188,9 @@ def txt_07_cleaned(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", T.clean_for_comparison(F.col("text")).alias("cleaned"), T.normalize_quotes(F.col("text")).alias("quotes"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(left(text, 200), ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), '|') AS items FROM documents")
+@query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), '|')) AS items FROM documents")
 def txt_10_lists(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(T.split_list(F.substring("text", 1, 200)), "|").alias("items"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(T.split_list(F.col("text")), "|")).alias("items"))
 
 
 @query("SELECT doc_id, substring(text, 1, 25) AS prefix, CASE WHEN length(text) > 60 THEN left(text, 60) || '...' ELSE text END AS short FROM documents")
