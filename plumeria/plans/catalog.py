@@ -369,12 +369,9 @@ _filtered("flt_11_stance_list", "stance = 'For' OR stance = 'Neutral/Unclear'",
 _filtered("flt_12_scalar_text", "category ILIKE '%E%'", QueryOptions({"category": "E", "unknown": 3, "title": ""}))
 _filtered("flt_13_search", "comment ILIKE '%worthless%' OR category ILIKE '%worthless%' OR organization ILIKE '%worthless%' OR themes ILIKE '%worthless%'", QueryOptions(search=" Worthless "))
 _filtered("flt_13_wildcards", "comment ILIKE '%st_p%d%'", QueryOptions(search="st_p%d", search_fields=("comment", "nothing")))
-_filtered("flt_18_unanalysed", "stance IS NULL", QueryOptions())
-QUERIES["flt_18_unanalysed"] = lambda spark, sf: comments(spark, sf).filter("stance is null").select("id")
-_filtered("flt_19_analysed", "coalesce(stance, '') <> ''", QueryOptions())
-QUERIES["flt_19_analysed"] = lambda spark, sf: comments(spark, sf).filter(F.coalesce("stance", F.lit("")) != "").select("id")
-_filtered("flt_28_by_id", "id = 17", QueryOptions())
-QUERIES["flt_28_by_id"] = lambda spark, sf: filters.by_id(comments(spark, sf), 17).select("id")
+query(f"SELECT id FROM ({COMMENTS}) WHERE stance IS NULL", "flt_18_unanalysed")(lambda spark, sf: comments(spark, sf).filter("stance is null").select("id"))
+query(f"SELECT id FROM ({COMMENTS}) WHERE coalesce(stance, '') <> ''", "flt_19_analysed")(lambda spark, sf: comments(spark, sf).filter(F.coalesce("stance", F.lit("")) != "").select("id"))
+query(f"SELECT id FROM ({COMMENTS}) WHERE id = 17", "flt_28_by_id")(lambda spark, sf: filters.by_id(comments(spark, sf), 17).select("id"))
 
 
 def _dated(name: str, where: str, value: dict) -> None:
