@@ -26,6 +26,10 @@ WORD = r"[^\x20\x09-\x0D]"
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
+#: A longer word, with the marks after it, is not looked up among the common ones.
+LISTED_CHARS = 6
+#: Bits of a window's key that hold its place in the text; the others are its hash's.
+PLACE_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -63,15 +67,20 @@ def _sum(values: Column) -> Column:
 
 
 def _classes(chars: Column) -> Column:
-    """Count of each of CLASSES among characters that are no white space."""
-    only = lambda pattern: F.length(F.regexp_replace(chars, pattern, "")).cast("long")
-    raw = F.array(only(r"[^\p{Lu}]+"), only(r"[^\p{L}]+"), only(r"[^\p{Nd}]+"), only(r"[^.,;:'()\-]+"), F.length(chars).cast("long"))
-    return _let(raw, lambda r: F.array(r[0], r[1] - r[0], r[2], r[3], r[4] - r[1] - r[2] - r[3]))
+    """Count of each of CLASSES among characters that are no white space: lower-case letters go first, so that little is left for the rest."""
+
+    def split(rest: Column) -> Column:
+        only = lambda pattern: F.length(F.regexp_replace(rest, pattern, "")).cast("long")
+        raw = F.array(only(r"[^\p{Lu}]+"), only(r"[^\p{L}]+"), only(r"[^\p{Nd}]+"), only(r"[^.,;:'()\-]+"), F.length(rest).cast("long"))
+        return _let(raw, lambda r: F.array(r[0], F.length(chars) - r[4] + r[1] - r[0], r[2], r[3], r[4] - r[1] - r[2] - r[3]))
+
+    return _let(F.regexp_replace(chars, r"\p{Ll}+", ""), split)
 
 
 def _counts(words: Column) -> Column:
     """Count of each listed word: the listed words are joined with two spaces each, and what taking one out shortens counts it."""
-    common = F.filter(F.transform(words, lambda w: F.rtrim(F.lower(w), F.lit(".,"))), lambda w: w.isin(_listed()))
+    short = F.filter(words, lambda w: F.length(w) <= LISTED_CHARS)
+    common = F.filter(F.transform(short, lambda w: F.rtrim(F.lower(w), F.lit(".,"))), lambda w: w.isin(_listed()))
     one = lambda text, w: ((F.length(text) - F.length(F.replace(text, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("long")
     return _let(F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" ")), lambda text: F.transform(F.array(*map(F.lit, _listed())), lambda w: one(text, w)))
 
@@ -114,14 +123,26 @@ def js_distance(counts: Column, total: Column, reference: tuple[float, ...]) ->
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in three-word windows that occur twice or more: windows sorted by hash, those with an equal neighbour, and what their places cover."""
-    window = lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))
-    windows = F.when(F.size(words) >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words), F.lit(3)) - 3), window))
-    twice = lambda s: F.filter(s, lambda x, j: F.coalesce((x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"]), (x["h"] == F.get(s, j - 1)["h"]), (x["h"] == F.get(s, j + 1)["h"]), F.lit(False)))
-    places = F.array_sort(F.transform(_let(F.sort_array(windows), twice), lambda x: x["i"]))
+    """Words in three-word windows that occur twice or more: windows sorted by hash, those equal to a neighbour, and what their places cover.
+
+    A window's key is one number, its hash above its place; of equal keys the words are compared. Texts
+    too long for that sort pairs of whole hash and place.
+    """
+    n = F.size(words)
+    hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    places = F.sequence(F.lit(0), F.greatest(n, F.lit(3)) - 3)
+    mask = (1 << PLACE_BITS) - 1
+    place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+    same = lambda x, y: (F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)) & (F.slice(words, place(x) + 1, F.lit(3)) == F.slice(words, place(y) + 1, F.lit(3)))
+    keys = F.transform(places, lambda i: F.shiftleft(F.shiftright(hashed(i), PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))
+    near = lambda s: F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
+    short = F.transform(_let(F.sort_array(keys), near), place)
+    pairs = F.transform(places, lambda i: F.struct(hashed(i).alias("h"), i.alias("i")))
+    equal = lambda s: F.filter(s, lambda x, j: (x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"]))
+    long = F.transform(_let(F.sort_array(pairs), equal), lambda x: x["i"])
     start = F.struct(F.lit(-3).alias("p"), F.lit(0).cast("long").alias("n"))
-    covered = F.aggregate(places, start, lambda a, x: F.struct(x.alias("p"), (a["n"] + F.least(F.lit(3), x - a["p"])).alias("n")), lambda a: a["n"])
-    return F.coalesce(covered, F.lit(0).cast("long"))
+    twice = F.sort_array(F.when(n < 3, F.array().cast("array<int>")).when(n <= mask, short).otherwise(long))
+    return F.aggregate(twice, start, lambda a, x: F.struct(x.alias("p"), (a["n"] + F.least(F.lit(3), x - a["p"])).alias("n")), lambda a: a["n"])
 
 
 def verdict(text: Column, references: References, limits: QualityLimits = LIMITS) -> Column:
@@ -191,7 +212,7 @@ WITH base AS (
 counted AS (
   SELECT doc_id, len(w)::BIGINT AS n, array_to_string(w, '') AS chars, regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g') AS symbols,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \\t\\n\\x0b\\f\\r') != '') AS lines,
-    list_filter(list_transform(w, lambda x: rtrim(lower(x), '.,')), lambda x: list_contains({array}, x)) AS common, w
+    list_filter(list_transform(list_filter(w, lambda x: length(x) <= {LISTED_CHARS}), lambda x: rtrim(lower(x), '.,')), lambda x: list_contains({array}, x)) AS common, w
   FROM base),
 windows AS (SELECT doc_id, n, w, unnest(range(1, n - 1)) AS i FROM counted WHERE n >= 3),
 keyed AS (SELECT doc_id, i, w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] AS k FROM windows),
