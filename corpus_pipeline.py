@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeria.llm.mil_quality import fit_quality, score_quality
+from plumeria.llm.near_copies import one_of_each
 from plumeria.llm.packing import best_fit_pack
 from plumeria.llm.quality_rules import fit_references, verdict
 from plumeria.llm.queries import documents, labels, vocabulary
 from plumeria.llm.shared import written
-from plumeria.llm.simhash import one_of_each
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group that five-word shingles of similarity 0.8 or more link; every such pair is found."""
     return one_of_each(docs)
 
 
@@ -38,10 +38,10 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality rules", quality_rules_stage),
     ("quality classifier", quality_classifier_stage),
-    ("SimHash near-dedup", near_duplicates_stage),
+    ("near-dedup", near_duplicates_stage),
     ("best-fit packing", packing_stage),
 ]
-#: SQL can't express the classifier, the fingerprints or the packing.
+#: SQL can't express the classifier, the near-copies or the packing.
 ORACLE_SQL = None
 
 
