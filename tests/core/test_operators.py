@@ -123,6 +123,33 @@ def test_clusters_label_every_row(spark, sf):
     assert clusters.ward_clusters(rows, most=50, k=3).count() == rows.count()
 
 
+def agreement(a, b):
+    """Adjusted Rand index of two labellings."""
+    table = np.zeros((len(set(a)), len(set(b))))
+    np.add.at(table, (np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]), 1)
+    pairs = lambda t: (t * (t - 1) / 2).sum()
+    rows, columns = pairs(table.sum(axis=1)), pairs(table.sum(axis=0))
+    by_chance = rows * columns / pairs(np.array([len(a)]))
+    return (pairs(table) - by_chance) / ((rows + columns) / 2 - by_chance)
+
+
+def test_repeated_vectors_keep_the_exact_path(spark):
+    """40 different vectors, 1 to 4 times each: exact with ``most`` = 40, and as Ward over all rows says."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 3)), rng.integers(1, 5, 40), axis=0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    got = [r.cluster_id for r in clusters.ward_clusters(df, most=40, k=4).orderBy("id").collect()]
+    assert agreement(got, clusters.cut(clusters.ward_linkage(x), len(x), 4)) == 1
+
+
+def test_cells_agree_with_exact_ward(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 1, size=(80, 2)) for c in ((0, 0), (12, 0), (0, 12))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    exact, cells = ([r.cluster_id for r in clusters.ward_clusters(df, most=m, k=3).orderBy("id").collect()] for m in (240, 60))
+    assert agreement(exact, cells) > 0.95
+
+
 def test_plane_keeps_distances(spark):
     x = np.random.default_rng(2).normal(size=(20, 2)) @ np.array([[3, 1, 0], [0, 1, 2.0]])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
