@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 ATTACHMENT_MARK = "\n\n--- ATTACHMENT CONTENT ---\n"
 NEXT_ATTACHMENT_MARK = "\n\n--- NEXT ATTACHMENT ---\n\n"
-SPACE = "(?U)\\s+"
+#: Unicode white space, the space itself last.
+SPACES = "\t\n\v\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000 "
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 MIME_TYPES = {
     "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xls": "application/vnd.ms-excel",
@@ -21,16 +22,24 @@ MIME_TYPES = {
 
 def trim_ws(c: Column) -> Column:
     """Strip all white space, not only spaces."""
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(c, SPACE, " ")
+    """One space for each run of white space."""
+    return F.regexp_replace(c, "(?U)\\s+", " ")
+
+
+def replace_each(c: Column, chars: str, by: str) -> Column:
+    """Each of ``chars`` replaced by its counterpart; for a few rare characters this is a byte search each."""
+    for old, new in zip(chars, by, strict=True):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
 
 
 def normalize_for_dedup(c: Column) -> Column:
     """Lower case, one space for white space, straight double quotes for „ « », a hyphen for dashes; curly quotes and apostrophes stay."""
-    return F.translate(F.trim(squeeze(F.lower(F.coalesce(c, F.lit(""))))), "„«»—–−", '"""---')
+    return F.trim(replace_each(squeeze(F.lower(F.coalesce(c, F.lit("")))), "„«»—–−", '"""---'))
 
 
 def combine(comment: Column, attachments: Column) -> Column:
@@ -43,6 +52,12 @@ def combine(comment: Column, attachments: Column) -> Column:
     return F.struct(own.alias("comment_text"), other.alias("attachment_text"), full.alias("full_text"), source.alias("text_source"))
 
 
+def stripped_text(comment: Column, attachments: Column) -> Column:
+    """Comment and attachment texts without tags, empty ones left out of the latter, with a blank line between."""
+    others = F.filter(F.transform(F.coalesce(attachments, F.array().cast("array<string>")), strip_tags), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.concat(strip_tags(F.coalesce(comment, F.lit(""))), F.array_join(F.transform(others, lambda x: F.concat(F.lit("\n\n"), x)), ""))
+
+
 def truncate(c: Column, n: int) -> Column:
     """At most n characters and ``...``, cut at the last space if it lies beyond 80 % of n."""
     head = trim_ws(F.substring(c, 1, n))
@@ -65,7 +80,7 @@ def strip_html(c: Column) -> Column:
 
 
 def clean_for_comparison(c: Column) -> Column:
-    return F.lower(F.trim(F.translate(squeeze(c), "—–", "--")))
+    return F.lower(F.trim(replace_each(squeeze(c), "—–", "--")))
 
 
 def normalize_quotes(c: Column) -> Column:
@@ -73,7 +88,7 @@ def normalize_quotes(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE), lambda x: x != "")
+    return F.filter(F.split(squeeze(F.coalesce(c, F.lit(""))), " "), lambda x: x != "")
 
 
 def word_count(c: Column) -> Column:
@@ -179,7 +194,7 @@ def lookup_id(n: Column) -> Column:
 
 
 def lookup_number(c: Column) -> Column:
-    return F.regexp_extract(c, "^lookup_([0-9]+)$", 1).try_cast("int")
+    return F.regexp_extract(c, "^lookup_([0-9]+)$", 1).try_cast("long")
 
 
 def json_object(reply: Column) -> Column:

@@ -6,6 +6,7 @@ import random
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -74,12 +75,21 @@ def attempt(call: Callable[[], dict], retries: int, first_delay: float, sleep: C
     raise AssertionError
 
 
+def within(call: Callable[[], dict], seconds: float) -> dict:
+    """The call's result, or TimeoutError after so long; the call itself goes on in its thread until it ends."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(timeout=seconds)
+    finally:
+        pool.shutdown(wait=False)
+
+
 def classify_text(classifier: Classifier, text: str | None, config: EnrichConfig, sleep: Callable[[float], None] = time.sleep) -> dict:
     """An analysis row: failures have stance '' and a rationale that starts with ``Error:``."""
     if not (text or "").strip():
         return {"stance": "", "key_quote": "", "rationale": "Error: no text", "themes": ""}
     try:
-        found = attempt(lambda: classifier(text), config.retries, config.first_delay, sleep)
+        found = attempt(lambda: within(lambda: classifier(text), config.timeout), config.retries, config.first_delay, sleep)
         return {k: found[k] for k in ("stance", "key_quote", "rationale")} | {"themes": ", ".join(found["themes"])}
     except Exception as e:
         return {"stance": "", "key_quote": "", "rationale": f"Error: {e}", "themes": ""}
@@ -100,6 +110,26 @@ def analyse(lookup: DataFrame, classifier: Classifier, config: EnrichConfig = En
     return lookup.join(found, "lookup_id", "left").withColumns({n: F.coalesce(n, f"_{n}") for n in names}).drop(*(f"_{n}" for n in names))
 
 
+def analyse_resumable(lookup: DataFrame, classifier: Classifier, path: str, config: EnrichConfig = EnrichConfig(), rounds: int = 1) -> DataFrame:
+    """``analyse`` in ``rounds``, each of which leaves its results below ``path``: a later run takes up what is there.
+
+    Rows are dealt into rounds by their id's hash. A round replaces its own folder, so a repeated one
+    leaves no row twice.
+    """
+    names, spark = ("stance", "key_quote", "rationale", "themes"), lookup.sparkSession
+    found = None
+    for k in range(rounds):
+        own = f"{path.rstrip('/')}/round={k}"
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{own}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            waiting = lookup.filter(F.col("stance").isNull() & (F.pmod(F.xxhash64("lookup_id"), F.lit(rounds)) == k))
+            analyse(waiting, classifier, config).select("lookup_id", *names).write.mode("overwrite").parquet(own)
+        part = spark.read.parquet(own)
+        found = part if found is None else found.unionByName(part)
+    found = found.select("lookup_id", *(F.col(n).alias(f"_{n}") for n in names))
+    return lookup.join(found, "lookup_id", "left").withColumns({n: F.coalesce(n, f"_{n}") for n in names}).drop(*(f"_{n}" for n in names))
+
+
 def extract(files: DataFrame, extractor: Extractor, most_bytes: int = 10_000_000) -> DataFrame:
     """``files`` (path, content) with the extractor's text; too large and failing files get a bracketed message."""
 
@@ -130,7 +160,8 @@ def best_text(basic: Column, remote: Column, least: int = 50) -> Column:
 
 
 def recommend(stats: DataFrame) -> DataFrame:
-    """Context sizes that suit a corpus, from the tokens' row of length statistics."""
-    row = stats.filter("metric = 'tokens'")
-    rules = F.array_compact(F.array(F.when(F.col("median") <= 256, 256), F.when(F.col("median") <= 256, 384), F.when(F.col("p95") <= 512, 512), F.when(F.col("max") > 512, 1024), F.lit(8192)))
-    return row.select(F.explode(rules).alias("max_tokens"))
+    """(position, max_tokens, dimensions) of models that suit a corpus, from the tokens' row of length statistics."""
+    short, long = F.col("median") <= 256, F.col("max") > 512
+    rules = ((short, 256, 384), (short, 384, 768), (F.col("p95") <= 512, 512, 384), (long, 512, 768), (long & (F.col("max") > 1000), 512, 768), (F.lit(True), 8192, 1536))
+    found = F.array_compact(F.array(*(F.when(rule, F.struct(F.lit(n).alias("max_tokens"), F.lit(d).alias("dimensions"))) for rule, n, d in rules)))
+    return stats.filter("metric = 'tokens'").select(F.posexplode(found).alias("at", "m")).select((F.col("at") + 1).alias("position"), "m.*")

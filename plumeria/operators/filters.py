@@ -20,8 +20,8 @@ from ..functions.values import all_of, any_of
 from ..schemas import STANCES
 
 # Keys that are matched as text, as they are spelled in a query, and the fields that a search looks at.
-TEXT_KEYS = frozenset("comment title keyQuote key_quote category rationale submitterName organization city state country commentOn documentType attachmentTitles truncatedText".split())
-SEARCH_KEYS = ("comment", "title", "key_quote", "rationale", "category", "organization", "truncated_text", "themes")
+TEXT_KEYS = frozenset("comment title keyQuote category rationale key_quote submitterName organization city state country documentType commentOn attachmentUrls attachmentTitles".split())
+SEARCH_KEYS = tuple("comment title keyQuote key_quote themes rationale category submitterName organization documentType commentOn attachmentUrls attachmentTitles".split())
 COUNT_KEYS = frozenset("commentCount comment_count attachmentCount attachment_count".split())
 DATE_MODES = ("exact", "range", "before", "after")
 
@@ -73,7 +73,7 @@ def like(c: Column, value: Any, literal: bool = False) -> Column:
     text = str(value)
     if literal:
         return F.contains(F.lower(c), F.lit(text.lower()))
-    return c.ilike(f"%{text}%")
+    return c.ilike("%" + text.replace("\\", "\\\\") + "%")  # a backslash is one, and escapes nothing
 
 
 def stance_is(c: Column, value: Any) -> Column | None:

@@ -1,4 +1,7 @@
-"""Joins of comments, lookup rows, clusters and id sets."""
+"""Joins of comments, lookup rows, clusters and id sets.
+
+Where a lookup table only tells which ids it has, its members (id, lookup_id) do as well.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LOOKUP, LOOKUP_DEFAULTS
-from .dedup import bridge
+from .dedup import bridge, pairs
 
 
 def flatten(raw: DataFrame) -> DataFrame:
@@ -22,11 +25,11 @@ def flatten(raw: DataFrame) -> DataFrame:
     )
 
 
-def merge(comments: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Comments with their first lookup entry's fields, or the defaults."""
+def merge(comments: DataFrame, lookup: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Comments with their first lookup entry's fields, or the defaults; ids come from ``members`` or the lookup rows' lists."""
     types = {f.name: f.dataType for f in LOOKUP.fields} | {"corrected": "boolean"}
     have = [c for c in LOOKUP_DEFAULTS if c in lookup.columns]
-    out = comments.join(bridge(lookup), "id", "left").join(lookup.select(*have), "lookup_id", "left")
+    out = comments.join(bridge(lookup if members is None else members), "id", "left").join(lookup.select(*have), "lookup_id", "left")
     filled = {k: F.coalesce(F.col(k), F.lit(v).cast(types[k])) if k in have else F.lit(v).cast(types[k]) for k, v in LOOKUP_DEFAULTS.items() if k != "lookup_id"}
     return out.withColumns(filled)
 
@@ -61,13 +64,13 @@ def primary_only(comments: DataFrame, lookup: DataFrame) -> DataFrame:
 
 def related(comments: DataFrame, lookup: DataFrame, lookup_id: str) -> DataFrame:
     """Comments of one lookup row; none if it is missing."""
-    ids = lookup.filter(F.col("lookup_id") == lookup_id).select(F.explode("comment_ids").alias("id"))
-    return comments.join(ids, "id", "left_semi")
+    return comments.join(pairs(lookup.filter(F.col("lookup_id") == lookup_id)).select("id"), "id", "left_semi")
 
 
 def sidecar_texts(lookup: DataFrame, texts: DataFrame) -> DataFrame:
-    """(lookup_id, text): texts (id, text) of a row's ids, joined in the order of its list."""
-    each = lookup.select("lookup_id", F.posexplode("comment_ids").alias("pos", "id")).join(texts, "id")
+    """(lookup_id, text): texts (id, text) of a row's ids, joined in the order of its list, or of members (id, seq, lookup_id) by seq."""
+    ids = lookup.select("lookup_id", F.posexplode("comment_ids").alias("pos", "id")) if "comment_ids" in lookup.columns else lookup.select("lookup_id", F.col("seq").alias("pos"), "id")
+    each = ids.join(texts, "id")
     listed = F.sort_array(F.collect_list(F.struct("pos", "text")))
     return each.groupBy("lookup_id").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n").alias("text"))
 

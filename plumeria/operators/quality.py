@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import attachment_flags, lookup_number
 from ..functions.values import is_iso_date
 from ..schemas import COMMENT_ID, FIELDS, MAX_TRUNCATED, STANCES, TEXT_SOURCES, FieldSpec
+from .dedup import pairs
 from .joins import membership
 
 
@@ -103,8 +104,8 @@ def categoricals(df: DataFrame, most: int = 20) -> DataFrame:
 
 
 def shared_ids(lookup: DataFrame) -> DataFrame:
-    """Ids that several lookup rows have."""
-    each = lookup.select("lookup_id", F.explode("comment_ids").alias("id")).distinct()
+    """Ids that several lookup rows have, by their lists or by members (id, lookup_id)."""
+    each = pairs(lookup).distinct()
     return each.groupBy("id").agg(F.count(F.lit(1)).alias("entries"), F.min("lookup_id").alias("first")).filter("entries > 1")
 
 
@@ -121,15 +122,30 @@ def truncation_issues(lookup: DataFrame, tolerance: int = 5) -> DataFrame:
     return lookup.filter(F.abs(F.col("truncated_text_length") - F.length("truncated_text")) > tolerance)
 
 
-def truncation_gate(lookup: DataFrame, requested: int | None) -> int | None:
-    """The table's truncation; raises if it was made with another one."""
-    found = lookup.agg(F.max("truncated_text_length").alias("most"), F.bool_or(F.col("full_text_length") > F.col("truncated_text_length")).alias("cut")).first()
-    used = found.most - 3 if found.cut and found.most else None
-    if found.cut and requested is None:
-        raise TruncationError("the table is truncated, and no truncation is asked for")
-    if requested is not None and found.cut and not requested - 0.2 * requested <= found.most <= requested + 3:
+def truncation_state(lookup: DataFrame) -> DataFrame:
+    """(most, cut, longer): the longest recorded text, whether any text is cut, and whether any was longer than the longest."""
+    sizes = lookup.agg(F.max("truncated_text_length").alias("most"), F.bool_or(F.col("full_text_length") > F.col("truncated_text_length")).alias("cut"), F.max("full_text_length").alias("_full"))
+    return sizes.select("most", F.coalesce("cut", F.lit(False)).alias("cut"), F.coalesce(F.col("_full") > F.col("most"), F.lit(False)).alias("longer"))
+
+
+def truncation_gate(lookup: DataFrame, requested: int | None, exact: bool = False) -> int | None:
+    """The truncation to go on with; raises if the table was made with another one.
+
+    ``exact`` demands that the longest text is as long as what is asked for. Without it, a cut table's
+    longest text may have the three dots more, or be cut at a space beyond 80 %, and an uncut table's
+    must not exceed what is asked for.
+    """
+    found = truncation_state(lookup).first()
+    if found.most is None:
+        return requested
+    if requested is None:
+        if found.longer if exact else found.cut:
+            raise TruncationError("the table is truncated, and no truncation is asked for")
+        return None
+    least, most = (requested, requested) if exact else (0.8 * requested if found.cut else 0, requested + (3 if found.cut else 0))
+    if not least <= found.most <= most:
         raise TruncationError(f"the table's longest text has {found.most} characters, {requested} are asked for")
-    return requested if requested is not None else used
+    return requested
 
 
 def completeness(lookup: DataFrame, attachments_only: bool = False) -> DataFrame:
@@ -143,6 +159,11 @@ def analysis_stats(lookup: DataFrame) -> DataFrame:
     return lookup.groupBy("stance").agg(F.count(F.lit(1)).alias("entries"), F.sum("comment_count").alias("comments"), F.count_if(F.col("rationale").startswith("Error:")).alias("errors"))
 
 
+def failed_rows(lookup: DataFrame) -> DataFrame:
+    """Rows whose analysis failed: their rationale starts with ``Error:``."""
+    return lookup.filter(F.col("rationale").startswith("Error:"))
+
+
 def max_lookup_number(lookup: DataFrame) -> DataFrame:
     return lookup.agg(F.max(lookup_number(F.col("lookup_id"))).alias("max_number"))
 
@@ -161,6 +182,25 @@ def overall(checks: DataFrame) -> DataFrame:
     return checks.agg(F.max(level).alias("level")).select(F.element_at(F.array(F.lit("PASS"), F.lit("WARN"), F.lit("FAIL")), F.col("level") + 1).alias("status"))
 
 
+def output_check(csv: DataFrame, raw: DataFrame, data: DataFrame, lookup: DataFrame, members: DataFrame, excluded: tuple = ()) -> DataFrame:
+    """One row on what a pipeline made: counts, ids that are missing, rows without analysis, its rate in percent, and whether all is valid.
+
+    ``csv``, ``raw`` and ``data`` have an id. Excluded ids count in ``raw`` and ``data`` only. Rows whose
+    analysis is incomplete, and data without a lookup row, are no errors.
+    """
+    own = lambda df: df.filter(~F.col("id").isin(*excluded)) if excluded else df
+    sets = membership(csv=own(csv).select("id"), raw=own(raw).select("id"), lookup=own(pairs(members)).select("id"))
+    found = sets.agg(F.count_if("in_csv").alias("csv_count"), F.count_if(F.col("in_csv") & ~F.col("in_raw")).alias("missing_from_raw"), F.count_if(F.col("in_raw") & ~F.col("in_lookup")).alias("missing_from_lookup"))
+    whole = F.col("key_quote").isNotNull() & F.col("rationale").isNotNull() & F.col("themes").isNotNull()
+    rows = F.count(F.lit(1))
+    done = lookup.agg(rows.alias("lookup_entries"), F.count_if(F.col("stance").isNull()).alias("unanalysed"), F.count_if(F.col("stance").isNotNull() & ~whole).alias("partly_analysed"))
+    sizes = raw.agg(rows.alias("raw_count")), data.agg(rows.alias("data_count"), F.count_if(F.col("lookup_id").isNull() | F.col("stance").isNull()).alias("data_without_lookup"))
+    out = reduce(lambda a, b: a.join(b, "_one"), (df.withColumn("_one", F.lit(1)) for df in (found, done, *sizes))).drop("_one")
+    valid = (F.col("csv_count") == F.col("raw_count")) & (F.col("raw_count") == F.col("data_count")) & (F.col("missing_from_lookup") == 0) & (F.col("unanalysed") == 0)
+    rate = F.when(F.col("lookup_entries") > 0, (F.col("lookup_entries") - F.col("unanalysed")) / F.col("lookup_entries") * 100).otherwise(0.0)
+    return out.withColumns({"analysis_rate": rate, "valid": valid})
+
+
 def repair_lookup(lookup: DataFrame) -> DataFrame:
     """Fill missing text fields, drop ``corrected``, clip texts and lengths at the schema's limit."""
     out = lookup.drop("corrected")

@@ -11,6 +11,13 @@ from ..schemas import STANCES
 
 # Words that say nothing about a cluster.
 STOP_WORDS = frozenset("the and for are but not you all can this that with have will from they been said each which their time would there what about when".split())
+# The same for the flat clustering's keywords.
+FLAT_STOP_WORDS = frozenset(
+    "the and for are but not you all can this that with have will from they been said each which their time would there what about when "
+    "many some these make like into him has two more very after our just first get may way use her than call who now find long down "
+    "day did come made part over such case most only could where much too still being going should well before must between under "
+    "never same another while last might great since against right three next even both through during".split()
+)
 PERCENTILES = (25, 75, 90, 95, 99)
 
 
@@ -61,11 +68,18 @@ def weighted_content(lookup: DataFrame, key: str = "cluster_id") -> DataFrame:
     return by.groupBy(key).agg(F.sum("texts").alias("unique_texts"), F.sum("n").alias("total_comments"), best.alias("b")).select(key, "unique_texts", "total_comments", F.col("b.stance").alias("dominant"), (F.col("b.n") / F.col("total_comments")).alias("purity"))
 
 
-def keywords(df: DataFrame, key: str, text: str, k: int = 10, stop: frozenset[str] = STOP_WORDS) -> DataFrame:
-    """Most frequent words of three letters or more in each group, ties by the word; counted before they are ranked."""
-    found = df.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-zA-Z]{3,}\b"), F.lit(0))).alias("word"))
-    counted = found.filter(~F.col("word").isin(sorted(stop))).groupBy(key, "word").agg(F.count(F.lit(1)).alias("freq"))
-    return top_n(counted, key, [F.desc("freq"), F.col("word")], k, "rank")
+def keywords(df: DataFrame, key: str, text: str, k: int = 10, stop: frozenset[str] = STOP_WORDS, first: str | None = None) -> DataFrame:
+    """Most frequent words of three letters or more in each group; counted before they are ranked.
+
+    Ties go by the word, or to the one that occurs first in the order of the column ``first``.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-zA-Z]{3,}\b"), F.lit(0))
+    if first is None:
+        found, seen, tie = df.select(key, F.explode(words).alias("word")), [], F.col("word")
+    else:
+        found, seen, tie = df.select(key, F.col(first).alias("_row"), F.posexplode(words).alias("_at", "word")), [F.min(F.struct("_row", "_at")).alias("_first")], F.col("_first")
+    counted = found.filter(~F.col("word").isin(sorted(stop))).groupBy(key, "word").agg(F.count(F.lit(1)).alias("freq"), *seen)
+    return top_n(counted, key, [F.desc("freq"), tie], k, "rank").drop("_first")
 
 
 def disagreement(lookup: DataFrame, dominant: DataFrame, key: str = "cluster_id") -> DataFrame:

@@ -14,7 +14,7 @@ def texts_of(raw: DataFrame) -> DataFrame:
     return raw.select("id", F.col("id").alias("seq"), F.col("attributes.comment").alias("comment"), F.transform("attributes.attachment_texts", lambda a: a["text"]).alias("attachment_texts"))
 
 
-def finish(raw: DataFrame, lookup: DataFrame, path: str, classifier: enrich.Classifier | None, config: enrich.EnrichConfig) -> dict[str, DataFrame]:
+def finish(raw: DataFrame, lookup: DataFrame, members: DataFrame, path: str, classifier: enrich.Classifier | None, config: enrich.EnrichConfig) -> dict[str, DataFrame]:
     """Analysis, clusters, coordinates, merge and checks, each a table below ``path``."""
     if classifier:
         lookup = save(enrich.analyse(lookup, classifier, config), f"{path}/analysed")
@@ -22,24 +22,32 @@ def finish(raw: DataFrame, lookup: DataFrame, path: str, classifier: enrich.Clas
     placed = clusters.ward_clusters(vectors).join(clusters.plane(vectors), "id").withColumnRenamed("id", "lookup_id")
     lookup = save(joins.relabel(lookup, placed), f"{path}/lookup")
     flat = joins.flatten(raw)
-    missing = joins.orphans(lookup, flat).limit(1).count()
+    missing = joins.orphans(members, flat).limit(1).count()
     if missing:
         raise quality.IntegrityError("the lookup table has ids without a comment")
-    data = save(joins.merge(flat, lookup), f"{path}/data")
+    data = save(joins.merge(flat, lookup, members), f"{path}/data")
     verified = quotes.verify(lookup)
-    return {"lookup": lookup, "data": data, "quotes": quotes.rates(verified), "report": quality.report(quality.validate(data)), "summary": dedup.summary(lookup)}
+    listed = dedup.with_ids(lookup, members.withColumn("seq", F.col("id")))
+    return {"lookup": listed, "members": members, "data": data, "quotes": quotes.rates(verified), "report": quality.report(quality.validate(data)), "summary": dedup.summary(lookup)}
 
 
 def batch(raw: DataFrame, path: str, truncate: int | None = 1000, classifier: enrich.Classifier | None = None, config: enrich.EnrichConfig = enrich.EnrichConfig()) -> dict[str, DataFrame]:
     """From nested comments to the merged table."""
-    lookup = save(dedup.create_lookup(dedup.combined(texts_of(raw), truncate)).drop("seq", "normalized"), f"{path}/created")
-    return finish(raw, lookup, path, classifier, config)
+    texts = dedup.combined(texts_of(raw), truncate)
+    found, ids = dedup.entries(texts)
+    lookup = save(dedup.lookup_rows(texts, found).drop("seq"), f"{path}/created")
+    members = save(ids.select("id", "lookup_id"), f"{path}/members")
+    return finish(raw, lookup, members, path, classifier, config)
 
 
-def resume(raw: DataFrame, lookup: DataFrame, incoming: DataFrame, path: str, truncate: int | None = 1000, classifier: enrich.Classifier | None = None, config: enrich.EnrichConfig = enrich.EnrichConfig()) -> dict[str, DataFrame]:
-    """Take in the comments of ``incoming`` whose ids are new: only unanalysed rows are analysed, and all are clustered again."""
+def resume(raw: DataFrame, lookup: DataFrame, incoming: DataFrame, path: str, truncate: int | None = 1000, classifier: enrich.Classifier | None = None, config: enrich.EnrichConfig = enrich.EnrichConfig(), members: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Take in the comments of ``incoming`` whose ids are new: only unanalysed rows are analysed, and all are clustered again.
+
+    The ids of ``lookup`` are its own lists, or ``members`` (id, lookup_id) if given.
+    """
     quality.truncation_gate(lookup, truncate)
     fresh = incoming.join(joins.new_ids(incoming, raw), "id", "left_semi")
     together = save(raw.unionByName(fresh), f"{path}/raw")
-    folded = save(dedup.fold(lookup, dedup.combined(texts_of(fresh), truncate)), f"{path}/folded")
-    return finish(together, folded, path, classifier, config)
+    known = dedup.pairs(lookup if members is None else members)
+    rows, ids = dedup.fold_members(lookup.drop("comment_ids"), known, dedup.combined(texts_of(fresh), truncate))
+    return finish(together, save(rows, f"{path}/folded"), save(ids, f"{path}/members"), path, classifier, config)

@@ -50,9 +50,27 @@ GROUPS = f"SELECT {NORM} AS norm, min(doc_id) AS first_id, count(*) AS n, string
 LOOKUPS = f"SELECT 'lookup_' || lpad(row_number() OVER (ORDER BY first_id)::VARCHAR, 6, '0') AS lookup_id, * FROM ({GROUPS})"
 
 
-def lookup(spark: SparkSession, sf: str) -> DataFrame:
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as combined texts, in the order of their ids."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), F.col("text").alias("comment"), F.lit(None).cast("array<string>").alias("attachment_texts"))
-    return dedup.create_lookup(dedup.combined(d))
+    return dedup.combined(d)
+
+
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    """(text_key, seq, comment_count, lookup_id) of the documents' different texts."""
+    return dedup.entries(texts(spark, sf))[0]
+
+
+def lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' lookup table with its lists of ids."""
+    return dedup.create_lookup(texts(spark, sf))
+
+
+def shared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Entries of texts that several documents share, and their members."""
+    found, ids = dedup.entries(texts(spark, sf))
+    found = found.filter("comment_count > 1")
+    return found, ids.join(found.select("lookup_id"), "lookup_id", "left_semi")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,41 +96,58 @@ SERIES = "count(*) FILTER (stance = 'For') AS for_count, count(*) FILTER (stance
 
 # Deduplication
 
-@query(f"SELECT lookup_id, first_id AS first_doc_id, n AS comment_count, ids AS doc_ids FROM ({LOOKUPS})")
+FIRST_TEXT = "regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')"
+ROWS = f"SELECT lookup_id, first_id AS first_doc_id, n AS comment_count, md5({FIRST_TEXT}) AS digest, 'comment' AS text_source, length({FIRST_TEXT}) AS full_text_length FROM ({LOOKUPS}) l JOIN documents d ON d.doc_id = l.first_id"
+
+
+def row_columns(first: Column) -> list[Column]:
+    return [F.col("lookup_id"), first.alias("first_doc_id"), F.col("comment_count").cast("long").alias("comment_count"), F.md5("truncated_text").alias("digest"), F.col("text_source"), F.col("full_text_length").cast("long").alias("full_text_length")]
+
+
+@query(f"SELECT r.*, ids AS doc_ids FROM ({ROWS}) r JOIN ({LOOKUPS}) l USING (lookup_id)")
 def agg_01_dedup_lookup(spark, sf):
-    return lookup(spark, sf).select("lookup_id", F.col("seq").alias("first_doc_id"), F.col("comment_count").cast("long").alias("comment_count"), F.array_join(F.transform("comment_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
+    return lookup(spark, sf).select(*row_columns(F.col("seq")), F.array_join(F.transform("comment_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
 
 
-@query(f"SELECT sum(n)::BIGINT AS total, count(*) AS unique_texts, round((1 - count(*) / sum(n)) * 100, 6) AS efficiency FROM ({GROUPS})")
+@query(f"SELECT sum(n)::BIGINT AS total, count(*) AS unique_texts, round_even((1 - count(*) / sum(n)) * 100, 1) AS efficiency, round_even(sum(n) / count(*), 6) AS ratio FROM ({GROUPS})")
 def agg_16_dedup_summary(spark, sf):
-    total, unique = F.sum("comment_count"), F.count(F.lit(1))
-    return lookup(spark, sf).agg(total.alias("total"), unique.alias("unique_texts"), six((1 - unique / total) * 100).alias("efficiency"))
+    return dedup.summary(entries(spark, sf))
 
 
 @query(f"SELECT lookup_id, n AS comment_count FROM ({LOOKUPS}) ORDER BY n DESC, lookup_id LIMIT 10")
 def srt_05_top_duplicates(spark, sf):
-    return dedup.in_order(lookup(spark, sf)).select("lookup_id", F.col("comment_count").cast("long").alias("comment_count")).limit(10)
+    return dedup.in_order(entries(spark, sf)).select("lookup_id", F.col("comment_count").cast("long").alias("comment_count")).limit(10)
 
 
-@query(f"SELECT count(*) AS entries, max(n) AS most, 0::BIGINT AS shared FROM ({GROUPS})")
+@query("SELECT o_custkey AS id, count(DISTINCT o_orderpriority) AS entries, min(o_orderpriority) AS first FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")
 def agg_22_id_uniqueness(spark, sf):
-    table_ = lookup(spark, sf)
-    shared = quality.shared_ids(table_).agg(F.count(F.lit(1)).alias("shared"))
-    return table_.agg(F.count(F.lit(1)).alias("entries"), F.max(F.col("comment_count").cast("long")).alias("most")).withColumn("k", F.lit(1)).join(shared.withColumn("k", F.lit(1)), "k").drop("k")
+    """Customers that stand under several priorities."""
+    return quality.shared_ids(table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("lookup_id")))
 
 
-@query(f"SELECT (SELECT count(*) FROM ({LOOKUPS}))::INTEGER AS max_number")
+@query(f"SELECT count(*) AS max_number FROM ({LOOKUPS})")
 def agg_29_max_lookup_number(spark, sf):
-    return quality.max_lookup_number(lookup(spark, sf))
+    return quality.max_lookup_number(entries(spark, sf))
+
 
+def folded(spark, sf):
+    """Lookup rows and members: the first half of the documents, and the second half folded in."""
+    all_ = texts(spark, sf)
+    half = table(spark, sf, "documents").agg(F.avg("doc_id")).first()[0]
+    old, new = all_.filter(F.col("id") <= half), all_.filter(F.col("id") > half)
+    found, ids = dedup.entries(old)
+    return dedup.fold_members(dedup.lookup_rows(old, found), ids, new)
 
-@query(f"SELECT first_id AS first_doc_id, n AS comment_count FROM ({GROUPS})")
+
+@query(ROWS)
 def inc_01_fold(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), F.col("text").alias("comment"), F.lit(None).cast("array<string>").alias("attachment_texts"))
-    texts = dedup.combined(d)
-    half = texts.agg(F.avg("id")).first()[0]
-    old, new = dedup.create_lookup(texts.filter(F.col("id") <= half)).drop("seq", "normalized"), texts.filter(F.col("id") > half)
-    return dedup.fold(old, new).select(F.array_min("comment_ids").alias("first_doc_id"), F.col("comment_count").cast("long").alias("comment_count"))
+    rows, ids = folded(spark, sf)
+    return rows.join(ids.groupBy("lookup_id").agg(F.min("id").alias("first")), "lookup_id").select(*row_columns(F.col("first")))
+
+
+@query(f"SELECT unnest(string_split(ids, ','))::BIGINT AS id, lookup_id FROM ({LOOKUPS})")
+def inc_02_members(spark, sf):
+    return folded(spark, sf)[1]
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 2 = 1")
@@ -133,8 +168,8 @@ PRIMARY = f"SELECT min(id) AS id FROM ({COMMENTS}) c LEFT JOIN (SELECT DISTINCT
 
 def _with_lookup(spark, sf):
     """Comments with the lookup ids of texts that are shared; the others have none."""
-    table_ = lookup(spark, sf).filter("comment_count > 1").select("lookup_id", "comment_ids")
-    return comments(spark, sf).join(dedup.bridge(table_), "id", "left"), table_
+    found, ids = shared(spark, sf)
+    return comments(spark, sf).join(dedup.bridge(ids), "id", "left"), found
 
 
 @query(f"SELECT {COUNTS} FROM ({COMMENTS}) WHERE id IN ({PRIMARY})")
@@ -200,10 +235,10 @@ def agg_11_keywords(spark, sf):
     return stats.keywords(table(spark, sf, "documents"), "lang", "text").select("lang", "word", "freq", "rank")
 
 
-@query(f"WITH c AS (SELECT * FROM ({COMMENTS})), b AS (SELECT category, stance, count(*) AS n FROM c GROUP BY 1, 2), d AS (SELECT category, arg_max(stance, n) AS dominant FROM b WHERE stance IS NOT NULL GROUP BY 1) SELECT category, count(*) FILTER (stance IS DISTINCT FROM dominant) AS minority, round(count(*) FILTER (stance IS DISTINCT FROM dominant) / count(*), 6) AS rate, count(*) FILTER (stance IS DISTINCT FROM dominant) AS minority_comments FROM c JOIN d USING (category) GROUP BY 1")
+@query(f"WITH c AS (SELECT * FROM ({COMMENTS})), b AS (SELECT category, stance, count(*) AS n FROM c GROUP BY 1, 2), d AS (SELECT category, arg_max(stance, (n, stance)) AS dominant FROM b WHERE stance IS NOT NULL GROUP BY 1) SELECT category, count(*) FILTER (stance IS DISTINCT FROM dominant) AS minority, round(count(*) FILTER (stance IS DISTINCT FROM dominant) / count(*), 6) AS rate, count(*) FILTER (stance IS DISTINCT FROM dominant) AS minority_comments FROM c JOIN d USING (category) GROUP BY 1")
 def agg_12_disagreement(spark, sf):
     c = comments(spark, sf).withColumn("comment_count", F.lit(1).cast("long"))
-    dominant = c.filter("stance is not null").groupBy("category", "stance").agg(F.count(F.lit(1)).alias("n")).groupBy("category").agg(F.max_by("stance", "n").alias("dominant"))
+    dominant = c.filter("stance is not null").groupBy("category", "stance").agg(F.count(F.lit(1)).alias("n")).groupBy("category").agg(F.max_by("stance", F.struct("n", "stance")).alias("dominant"))
     return stats.disagreement(c, dominant, "category").withColumn("rate", six("rate"))
 
 
@@ -459,9 +494,9 @@ def join_05_descriptions(spark, sf):
 
 @query(f"WITH t AS (SELECT lookup_id, ids FROM ({LOOKUPS}) ORDER BY n DESC, lookup_id LIMIT 1) SELECT id FROM ({COMMENTS}) WHERE list_contains(string_split((SELECT ids FROM t), ','), id::VARCHAR)")
 def join_08_related(spark, sf):
-    found = lookup(spark, sf)
+    found, ids = dedup.entries(texts(spark, sf))
     top = dedup.in_order(found).limit(1).first()
-    return joins.related(comments(spark, sf), found, top.lookup_id if top else "").select("id")
+    return joins.related(comments(spark, sf), ids, top.lookup_id if top else "").select("id")
 
 
 @query("SELECT a.id, a.id IN (SELECT doc_id FROM documents) AS in_documents, a.id IN (SELECT doc_id FROM labels) AS in_labels FROM (SELECT doc_id AS id FROM documents UNION SELECT doc_id FROM labels) a")
@@ -582,7 +617,7 @@ def ml_08_pca(spark, sf):
 
 @query()
 def udf_01_classify(spark, sf):
-    return enrich.analyse(lookup(spark, sf).drop("seq", "normalized"), enrich.KeywordClassifier()).select("lookup_id", "stance", "rationale")
+    return enrich.analyse(dedup.lookup_rows(texts(spark, sf), entries(spark, sf)), enrich.KeywordClassifier()).select("lookup_id", "stance", "rationale")
 
 
 @query("SELECT doc_id AS id FROM documents")

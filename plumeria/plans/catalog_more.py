@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import clusters, dedup, joins, quality, quotes, stats
+from ..operators import clusters, dedup, enrich, filters, joins, quality, quotes, stats
+from ..operators.filters import QueryOptions
 from ..sources import readers
-from .catalog import COMMENTS, EVENTS, GROUPS, LOOKUPS, VECTORS, comments, events, lookup, query, table, vectors
+from .catalog import COMMENTS, EVENTS, GROUPS, LOOKUPS, VECTORS, comments, entries, events, lookup, query, shared, table, texts, vectors
 
 NESTED = "SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS comment, count(*) FILTER (turn > 0) AS n, coalesce(string_agg(role || turn, '; ' ORDER BY turn) FILTER (turn > 0), '') AS titles FROM conversations GROUP BY 1"
 
@@ -39,17 +40,13 @@ def prj_02_names(spark, sf):
     return comments(spark, sf).select(T.trim_ws(F.concat(F.coalesce("organization", F.lit("")), F.lit(" "), F.coalesce("category", F.lit("")))).alias("name"), "id")
 
 
-def shared_lookup(spark, sf):
-    """Lookup rows of texts that several documents share."""
-    return lookup(spark, sf).filter("comment_count > 1")
-
-
 MEMBERS = f"SELECT unnest(string_split(ids, ','))::BIGINT AS id, lookup_id, n FROM ({LOOKUPS}) WHERE n > 1"
 
 
 @query(f"SELECT c.id, m.lookup_id, coalesce(m.n, 1)::INTEGER AS comment_count FROM ({COMMENTS}) c LEFT JOIN ({MEMBERS}) m ON c.id = m.id")
 def prj_03_defaults(spark, sf):
-    return joins.merge(comments(spark, sf).select("id"), shared_lookup(spark, sf).drop("seq", "normalized")).select("id", "lookup_id", "comment_count")
+    found, ids = shared(spark, sf)
+    return joins.merge(comments(spark, sf).select("id"), found.withColumn("comment_count", F.col("comment_count").cast("int")), ids).select("id", "lookup_id", "comment_count")
 
 
 @query(f"SELECT c.id, coalesce(m.n, 1)::INTEGER AS comment_count FROM ({COMMENTS}) c LEFT JOIN ({MEMBERS}) m ON c.id = m.id")
@@ -59,20 +56,21 @@ def prj_08_group_sizes(spark, sf):
 
 @query(f"SELECT c.id FROM ({COMMENTS}) c WHERE c.id NOT IN (SELECT id FROM ({MEMBERS}))")
 def join_03_unmatched(spark, sf):
-    return joins.unmatched(comments(spark, sf), shared_lookup(spark, sf)).select("id")
+    return joins.unmatched(comments(spark, sf), shared(spark, sf)[1]).select("id")
 
 
 @query(f"SELECT m.lookup_id, md5(string_agg(d.text, chr(10) || chr(10) ORDER BY d.doc_id)) AS digest FROM ({MEMBERS}) m JOIN documents d ON d.doc_id = m.id GROUP BY 1")
 def join_10_ordered_texts(spark, sf):
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return joins.sidecar_texts(shared_lookup(spark, sf), texts).select("lookup_id", F.md5("text").alias("digest"))
+    own = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return joins.sidecar_texts(shared(spark, sf)[1], own).select("lookup_id", F.md5("text").alias("digest"))
 
 
 @query(f"SELECT lookup_id, CASE WHEN first_id % 2 = 0 THEN '7' END AS cluster_id FROM ({LOOKUPS})")
 def join_11_relabel(spark, sf):
-    all_ = lookup(spark, sf)
+    all_ = entries(spark, sf)
     found = all_.filter("seq % 2 = 0").select("lookup_id", F.lit("7").alias("cluster_id"), F.lit(0.0).alias("pca_x"), F.lit(0.0).alias("pca_y"))
-    return joins.relabel(all_, found).select("lookup_id", "cluster_id")
+    blank = {"cluster_id": F.lit(None).cast("string"), "pca_x": F.lit(None).cast("double"), "pca_y": F.lit(None).cast("double")}
+    return joins.relabel(all_.withColumns(blank), found).select("lookup_id", "cluster_id")
 
 
 @query("SELECT doc_id AS id, CASE WHEN source IN ('For', 'Against', 'Neutral/Unclear') THEN source END AS stance, nullif(lang, 'en') AS organization, coalesce(NULL::INTEGER, 0) AS attachment_count FROM documents")
@@ -113,9 +111,9 @@ def flt_23_without_place(spark, sf):
 
 @query(f"SELECT id FROM ({MEMBERS}) WHERE lookup_id = (SELECT min(lookup_id) FROM ({MEMBERS})) AND id <> (SELECT min(id) FROM ({MEMBERS}) WHERE lookup_id = (SELECT min(lookup_id) FROM ({MEMBERS})))")
 def flt_24_related_others(spark, sf):
-    found = shared_lookup(spark, sf)
-    first = found.orderBy("lookup_id").select("lookup_id", F.array_min("comment_ids").alias("own")).first()
-    rows = joins.related(comments(spark, sf), found, first.lookup_id if first else "")
+    found, ids = shared(spark, sf)
+    first = found.orderBy("lookup_id").select("lookup_id", F.col("seq").alias("own")).first()
+    rows = joins.related(comments(spark, sf), ids, first.lookup_id if first else "")
     return (rows.filter(F.col("id") != first.own) if first else rows).select("id")
 
 
@@ -170,7 +168,7 @@ def set_03_append(spark, sf):
 
 @query(f"SELECT first_id AS seq, lookup_id FROM ({LOOKUPS})")
 def win_03_numbers(spark, sf):
-    return lookup(spark, sf).select("seq", "lookup_id")
+    return entries(spark, sf).select("seq", "lookup_id")
 
 
 @query("SELECT doc_id, 'lookup_' || lpad((100 + row_number() OVER (ORDER BY doc_id))::VARCHAR, 6, '0') AS lookup_id FROM documents")
@@ -203,9 +201,9 @@ def txt_20_mime(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.mime_type(F.col("url"), F.lit("page")).alias("mime"))
 
 
-@query(f"SELECT lookup_id, right(lookup_id, 6)::INTEGER AS number FROM ({LOOKUPS})")
+@query(f"SELECT lookup_id, right(lookup_id, 6)::BIGINT AS number FROM ({LOOKUPS})")
 def txt_22_numbers(spark, sf):
-    return lookup(spark, sf).select("lookup_id", T.lookup_number(F.col("lookup_id")).alias("number"))
+    return entries(spark, sf).select("lookup_id", T.lookup_number(F.col("lookup_id")).alias("number"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d') AS next_day FROM events")
@@ -248,7 +246,7 @@ def clr_01_colours(spark, sf):
 
 @query(f"SELECT count(*) AS entries, 0::BIGINT AS analysed, sum(n)::BIGINT AS comments FROM ({GROUPS})")
 def src_05_clusterable(spark, sf):
-    return readers.clusterable_stats(lookup(spark, sf))
+    return readers.clusterable_stats(dedup.lookup_rows(texts(spark, sf), entries(spark, sf)))
 
 
 @query("SELECT count(*) AS n FROM documents WHERE left(text, 40) <> '' AND NOT contains(text, upper(left(text, 40)))")
@@ -265,3 +263,89 @@ def ml_09_sample(spark, sf):
 @query()
 def udf_08_descriptions(spark, sf):
     return clusters.describe(stats.keywords(table(spark, sf, "documents"), "lang", "text"), "lang")
+
+
+# Operators on tables that hold odd cases
+
+SEARCHED = "SELECT page_id AS id, url AS attachment_urls, 'Doc ' || page_id AS document_type, CASE WHEN page_id % 3 = 0 THEN 'a\\b' || page_id ELSE 'none' END AS submitter_name, html AS truncated_text FROM pages"
+
+
+def searched(spark, sf):
+    """Pages as comments that have the fields which only a search looks at."""
+    name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("a\\b"), F.col("page_id").cast("string"))).otherwise("none")
+    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("attachment_urls"), F.concat(F.lit("Doc "), F.col("page_id").cast("string")).alias("document_type"), name.alias("submitter_name"), F.col("html").alias("truncated_text"))
+
+
+def _searched(name: str, where: str, options: QueryOptions) -> None:
+    query(f"SELECT id FROM ({SEARCHED}) WHERE {where}", name)(lambda spark, sf: filters.apply_filters(searched(spark, sf), options).select("id"))
+
+
+_searched("flt_08_url_key", "attachment_urls ILIKE '%example.org%'", QueryOptions({"attachmentUrls": "example.ORG"}))
+_searched("flt_13_default_fields", "attachment_urls ILIKE '%doc 1%' OR document_type ILIKE '%doc 1%' OR submitter_name ILIKE '%doc 1%'", QueryOptions(search="DOC 1"))
+_searched("flt_13_backslash", "contains(lower(submitter_name), 'a\\b1')", QueryOptions(search="A\\b1"))
+
+
+@query("SELECT event_id, event_type AS stance FROM events WHERE starts_with('Error: ' || event_type, 'Error: c') AND event_id % 2 = 0")
+def flt_25_errors(spark, sf):
+    e = table(spark, sf, "events")
+    marked = e.withColumn("rationale", F.when((F.col("event_id") % 2 == 0) & F.col("event_type").startswith("c"), F.concat(F.lit("Error: "), "event_type")).otherwise(F.col("event_type")))
+    return quality.failed_rows(marked).select("event_id", F.col("event_type").alias("stance"))
+
+
+FLAT_STOP = ", ".join(f"'{w}'" for w in sorted(stats.FLAT_STOP_WORDS))
+
+
+@query(f"WITH w AS (SELECT lang, doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}'))) AS word, generate_subscripts(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}')), 1) AS pos FROM documents), c AS (SELECT lang, word, count(*) AS freq, min((doc_id, pos)) AS first FROM w WHERE word NOT IN ({FLAT_STOP}) GROUP BY 1, 2) SELECT lang, word, freq, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, first)::INTEGER AS rank FROM c) WHERE rank <= 15")
+def agg_11_flat_keywords(spark, sf):
+    return stats.keywords(table(spark, sf, "documents"), "lang", "text", 15, stats.FLAT_STOP_WORDS, "doc_id").select("lang", "word", "freq", "rank")
+
+
+LABELLED = "SELECT doc_id AS lookup_id, CASE WHEN toxic = 1 THEN 'Against' WHEN doc_id % 5 <> 0 THEN 'For' END AS stance, CASE WHEN doc_id % 7 <> 0 THEN 'q' END AS key_quote FROM labels"
+
+
+@query(f"WITH r AS ({LABELLED}), m AS (SELECT DISTINCT doc_id AS id FROM documents), l AS (SELECT DISTINCT lookup_id AS id FROM r) SELECT (SELECT count(*) FROM m WHERE id <> 0) AS csv_count, (SELECT count(*) FROM documents) AS raw_count, (SELECT count(*) FROM documents) AS data_count, 0::BIGINT + (SELECT count(*) FROM m WHERE id <> 0 AND id NOT IN (SELECT id FROM m)) AS missing_from_raw, (SELECT count(*) FROM m WHERE id <> 0 AND id NOT IN (SELECT id FROM l)) AS missing_from_lookup, (SELECT count(*) FROM r) AS lookup_entries, (SELECT count(*) FROM r WHERE stance IS NULL) AS unanalysed, (SELECT count(*) FROM r WHERE stance IS NOT NULL AND key_quote IS NULL) AS partly_analysed, (SELECT count(*) FROM documents LEFT JOIN r ON doc_id = lookup_id WHERE stance IS NULL) AS data_without_lookup, round((SELECT count(stance) / count(*) FROM r) * 100, 6) AS analysis_rate, false AS valid")
+def val_04_output(spark, sf):
+    labels, d = table(spark, sf, "labels"), table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    stance = F.when(F.col("toxic") == 1, "Against").when(F.col("doc_id") % 5 != 0, "For")
+    rows = labels.select(F.col("doc_id").alias("lookup_id"), stance.alias("stance"), F.when(F.col("doc_id") % 7 != 0, "q").alias("key_quote"), F.lit("").alias("rationale"), F.lit("").alias("themes"))
+    data = d.join(rows.withColumn("id", F.col("lookup_id")), "id", "left")
+    return quality.output_check(d, d, data, rows, rows.withColumn("id", F.col("lookup_id")), (0,)).withColumn("analysis_rate", F.round("analysis_rate", 6))
+
+
+@query("SELECT max(least(length(text), 1000)) AS most, bool_or(length(text) > 1000) AS cut, max(length(text)) > max(least(length(text), 1000)) AS longer FROM documents")
+def val_06_truncation(spark, sf):
+    size = F.length("text").cast("long")
+    return quality.truncation_state(table(spark, sf, "documents").select(F.least(size, F.lit(1000)).alias("truncated_text_length"), size.alias("full_text_length")))
+
+
+@query("WITH t AS (SELECT length(regexp_replace(coalesce(text, ''), '<.*?>', '', 'g')) / 4 AS v FROM documents), s AS (SELECT median(v) AS m, quantile_cont(v, 0.95) AS p, max(v) AS x FROM t), r AS (SELECT unnest(list_filter([CASE WHEN m <= 256 THEN {'t': 256, 'd': 384} END, CASE WHEN m <= 256 THEN {'t': 384, 'd': 768} END, CASE WHEN p <= 512 THEN {'t': 512, 'd': 384} END, CASE WHEN x > 512 THEN {'t': 512, 'd': 768} END, CASE WHEN x > 1000 THEN {'t': 512, 'd': 768} END, {'t': 8192, 'd': 1536}], lambda q: q IS NOT NULL)) AS q FROM s) SELECT (row_number() OVER ())::INTEGER AS position, q.t AS max_tokens, q.d AS dimensions FROM r")
+def ml_10_models(spark, sf):
+    return enrich.recommend(stats.length_stats(table(spark, sf, "documents"), "text"))
+
+
+@query("SELECT conv_id, md5(regexp_replace(coalesce(comment, ''), '<.*?>', '', 'g') || coalesce(other, '')) AS digest FROM (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS comment, string_agg(chr(10) || chr(10) || text, '' ORDER BY turn) FILTER (turn > 0 AND text <> '') AS other FROM conversations GROUP BY 1)")
+def txt_06_stripped(spark, sf):
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("comment"), F.sort_array(F.collect_list(F.when(F.col("turn") > 0, F.struct("turn", "text")))).alias("a"))
+    return c.select("conv_id", F.md5(T.stripped_text(F.col("comment"), F.transform("a", lambda x: x["text"]))).alias("digest"))
+
+
+@query("SELECT doc_id, left(regexp_replace(text, '[^\\p{L}\\p{N}_\\- ]', '', 'g'), 50) AS name FROM documents")
+def txt_19_safe_names(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.safe_name(F.col("text")).alias("name"))
+
+
+@query("SELECT event_id, CASE WHEN length(b) > 0 THEN b ELSE '' END AS object FROM (SELECT event_id, regexp_extract('reply: ' || props || CASE WHEN event_id % 2 = 0 THEN ' done' ELSE '' END, '(?s)\\{.*\\}') AS b FROM events)")
+def txt_23_reply(spark, sf):
+    reply = F.concat(F.lit("reply: "), "props", F.when(F.col("event_id") % 2 == 0, " done").otherwise(""))
+    return table(spark, sf, "events").select("event_id", T.json_object(reply).alias("object"))
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN n > 100 AND NOT starts_with(t, '[') AND NOT starts_with(upper(t), 'ERROR') THEN text WHEN length(coalesce(r, '')) > length(text) AND NOT starts_with(r, '[') AND length(r) > 50 THEN r WHEN n > 50 THEN text END AS best FROM (SELECT doc_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n, CASE WHEN doc_id % 2 = 0 THEN repeat('remote ', 20) ELSE '[failed]' END AS r FROM documents WHERE text IS NOT NULL)")
+def udf_06_best_text(spark, sf):
+    remote = F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit("remote "), 20)).otherwise("[failed]")
+    return table(spark, sf, "documents").filter("text is not null").select("doc_id", enrich.best_text(F.col("text"), remote).alias("best"))
+
+
+@query("SELECT dense_rank() OVER (ORDER BY label)::INTEGER - 1 AS flat, vec_id AS id FROM embeddings")
+def ml_11_flat_labels(spark, sf):
+    return clusters.flat_labels(vectors(spark, sf).withColumn("cluster_id", F.col("cluster_id"))).select("id", "flat")

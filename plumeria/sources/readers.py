@@ -41,7 +41,7 @@ def comments_from_csv(csv: DataFrame, rule_ids: tuple[str, ...] = (), limit: int
 def csv_ids(csv: DataFrame, limit: int | None = None) -> DataFrame:
     """Distinct ids: ``Comment ID``, else ``Document ID``; blank ones are left out."""
     names = [F.nullif(F.col(f"`{n}`"), F.lit("")) for n in ("Comment ID", "Document ID") if n in csv.columns]
-    out = csv.select(F.coalesce(*names).alias("id")).filter("id is not null").distinct()
+    out = csv.select(F.coalesce(*names, F.lit(None).cast("string")).alias("id")).filter("id is not null").distinct()
     return out.orderBy("id").limit(limit) if limit else out
 
 

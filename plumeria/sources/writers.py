@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import preview, wrap
@@ -16,7 +18,10 @@ def version_dir(base: str, prefix: str = "results", now: datetime | None = None)
 
 
 def save(df: DataFrame, path: str) -> DataFrame:
-    """Write Parquet, replacing what is there, and read it back."""
+    """Write Parquet, replacing what is there, and read it back; a path that ``df`` reads from is refused."""
+    own = re.sub("^file:/*", "/", path.rstrip("/")) + "/"
+    if any(re.sub("^file:/*", "/", f).startswith(own) for f in df.inputFiles()):
+        raise ValueError(f"{path} is read by what would replace it")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -67,6 +72,24 @@ def sidecar_name(path: Column) -> Column:
     return F.concat(path, F.lit(".extracted.txt"))
 
 
-def checkpoint(batch: DataFrame, path: str) -> None:
-    """Append processed rows; a restart leaves out the ids that are there."""
+def checkpoint(batch: DataFrame, path: str, key: str = "lookup_id") -> None:
+    """Append processed rows that are not there yet; a repeated batch adds nothing."""
+    known = batch.sparkSession.read.schema(batch.schema).option("ignoreMissingFiles", True)
+    try:
+        batch = batch.join(known.parquet(path).select(key), key, "left_anti")
+    except AnalysisException:  # the first batch
+        pass
     batch.write.mode("append").parquet(path)
+
+
+def promote(spark: SparkSession, version: str, base: str) -> None:
+    """Make ``version`` the one that ``current`` gives: one small file is replaced, no data is copied or deleted."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/CURRENT")
+    out = pointer.getFileSystem(conf).create(pointer, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+
+
+def current(spark: SparkSession, base: str) -> str:
+    return spark.read.text(f"{base.rstrip('/')}/CURRENT", wholetext=True).first().value

@@ -1,5 +1,7 @@
 """Operators on fixtures of our own."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,66 @@ def test_fold_is_a_full_recompute_and_idempotent(spark):
     assert members(dedup.fold(once, texts(spark, ROWS))) == members(once)
 
 
+@pytest.mark.parametrize("partitions, coalesce", [(8, True), (8, False), (64, True)])
+def test_lookup_over_many_partitions(spark, partitions, coalesce):
+    """Every text once and numbers 1..N once, with all columns written, however shuffles are cut."""
+    names = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": str(coalesce).lower()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        raw = spark.range(12_000).select(F.concat(F.lit("C-"), F.col("id").cast("string")).alias("id"), F.col("id").alias("seq"), F.concat(F.lit("Text  number "), (F.col("id") % 5000).cast("string"), F.repeat(F.lit(" word"), 50)).alias("comment"), F.lit(None).cast("array<string>").alias("attachment_texts"))
+        all_ = dedup.combined(raw)
+        half = all_.filter("seq < 6000")
+        made, old = dedup.create_lookup(all_).toPandas(), dedup.entries(half)
+        rows, ids = dedup.fold_members(dedup.lookup_rows(half, old[0]), old[1], all_.filter("seq >= 6000"))
+        rows, ids = rows.toPandas(), ids.toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [f"lookup_{k + 1:06d}" for k in range(5000)]
+    for table in (made, rows):
+        assert sorted(table.lookup_id) == want and table.truncated_text.nunique() == 5000 and table.comment_count.sum() == 12_000
+    assert len(ids) == 12_000 and ids.id.nunique() == 12_000
+    listed = made.set_index("lookup_id").comment_ids
+    assert all(list(listed[f"lookup_{k + 1:06d}"]) == [f"C-{i}" for i in range(k, 12_000, 5000)] for k in (0, 17, 4999))
+
+
+def test_save_keeps_what_it_reads(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        writers.save(spark.read.parquet(str(tmp_path / "t")), str(tmp_path / "t"))
+    writers.promote(spark, "v1", str(tmp_path))
+    assert writers.current(spark, str(tmp_path)) == "v1"
+
+
+def test_resumable_analysis(spark, tmp_path):
+    df = spark.createDataFrame([(f"lookup_{k:06d}", "I support it", None, None, None, None) for k in range(20)], "lookup_id string, truncated_text string, stance string, key_quote string, rationale string, themes string")
+    path = str(tmp_path / "analysis")
+    first = enrich.analyse_resumable(df, enrich.KeywordClassifier(), path, rounds=3).collect()
+    again = enrich.analyse_resumable(df, lambda text: 1 / 0, path, rounds=3).collect()
+    assert len(first) == 20 and {r.stance for r in first} == {"For"} and sorted(first) == sorted(again)
+    slow = enrich.classify_text(lambda t: time.sleep(2), "x", enrich.EnrichConfig(retries=0, timeout=0.1))
+    assert slow["rationale"].startswith("Error:")
+
+
+def test_backslash_is_a_character(spark):
+    df = spark.createDataFrame([("a\\b",), ("ab",)], "title string")
+    assert filters.apply_filters(df, QueryOptions(search="a\\b", search_fields=("title",))).count() == 1
+
+
+def test_truncation_rules(spark):
+    cut = spark.createDataFrame([(500, 103), (20, 20)], "full_text_length int, truncated_text_length int")
+    assert quality.truncation_gate(cut, 103, exact=True) == 103
+    for requested, exact in ((100, True), (50, False), (200, False)):
+        with pytest.raises(quality.TruncationError):
+            quality.truncation_gate(cut, requested, exact)
+    whole = cut.filter("full_text_length = 20")
+    assert quality.truncation_gate(whole, None) is None and quality.truncation_gate(whole, 100) == 100
+    with pytest.raises(quality.TruncationError):
+        quality.truncation_gate(whole, 10)
+
+
 def test_empty_lookup(spark):
     assert dedup.create_lookup(texts(spark, [])).count() == 0
 
