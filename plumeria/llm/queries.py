@@ -30,9 +30,9 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe_automaton import encode_decode
+    from .bpe_automaton import digests, encode_decode
 
-    return encode_decode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return digests(encode_decode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,36 +1,12 @@
-"""The shared folder: tables and files that every executor and the driver can reach."""
+"""The shared folder, and files in it for code that runs in tasks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from ..shared import discard, new_path, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only in local mode without that setting."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master") != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/plumeria/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and losing an executor loses nothing."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "filesystem", "new_path", "shared_dir", "written"]
 
 
 def filesystem(uri: str):
