@@ -1,10 +1,12 @@
-"""Near-copies by the Jaccard similarity of their word shingles, with every similar pair found.
-
-Two sets of similarity 0.8 or more share most of their members, so in one order of all shingles they
-have a member in common among the first fifth (and one) of each: a set's prefix. Sets that meet in a
-prefix are compared by their whole sets. Any order finds all pairs; this one puts shingles that many
-texts have last, so few sets meet for nothing. Fingerprints don't do here: at similarity 0.8 they differ
-in up to 14 of 64 bits, and no ball of that radius can be enumerated.
+"""SimHash near-dedup at a given shingle similarity: operator 5's ball hashing over five-word fingerprints, and what lies beyond its ball.
+
+Texts of similarity 0.8 or more (Jaccard, of sets of five-word shingles) have fingerprints that differ in up
+to some 14 of 64 bits, and no ball of that radius can be enumerated. So ball hashing links the bulk, copies
+and near-copies within 3 bits, each candidate checked by its whole sets; and the pairs whose fingerprints
+lie further apart are found by prefixes: two such sets have a member in common among the first fifth (and
+one) of each, in one order of all shingles. Only sets that the fingerprints left in different components
+meet there. Any order finds all pairs; this one puts shingles that many texts have last, so few sets meet
+for nothing.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-from .simhash import SEED, components
+from .shared import discard, written
+from .simhash import SEED, components, links, majority, shingle_hashes
 
 SHINGLE_WORDS = 5
 #: The least similarity, as a fraction: 4 / 5.
@@ -33,11 +35,7 @@ TEXTS_AT_ONCE = 1_000
 
 def shingles(text: str | None) -> np.ndarray:
     """Ascending hashes of the different runs of five words; of all words where there are fewer; none without words."""
-    found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    runs = map(b" ".join, zip(*(found[i:] for i in range(SHINGLE_WORDS)), strict=False)) if len(found) > SHINGLE_WORDS else [b" ".join(found)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in runs), np.uint64))
+    return np.unique(shingle_hashes(text, SHINGLE_WORDS))
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -94,11 +92,12 @@ def _pairs(sets: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
 def meetings(rows: DataFrame) -> DataFrame:
     """(token, a, b, n, pos): pairs to compare (token null), and the members (token, a) of large groups.
 
-    Small groups give all pairs that can be similar, large ones each member with their ``HUBS`` least.
+    ``rows`` are (token, id, n, pos, root). Small groups give all pairs of different roots that can be
+    similar, large ones each member with their ``HUBS`` least.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (token, sets, n, pos), starts, ends in _groups(batches, ["token", "id", "n", "pos"]):
+        for (token, sets, n, pos, root), starts, ends in _groups(batches, ["token", "id", "n", "pos", "root"]):
             sizes = ends - starts
             left, right = [starts[sizes == 2]], [starts[sizes == 2] + 1]
             for s, e in zip(starts[(sizes > 2) & (sizes <= LARGE)].tolist(), ends[(sizes > 2) & (sizes <= LARGE)].tolist(), strict=True):
@@ -112,7 +111,7 @@ def meetings(rows: DataFrame) -> DataFrame:
                     right.append(np.full(len(rest), hub))
                 yield pd.DataFrame({"token": token[s:e], "a": sets[s:e], "b": sets[s:e], "n": n[s:e], "pos": pos[s:e]}).astype({"token": "Int64"})
             i, j = np.concatenate(left), np.concatenate(right)
-            fits = _may(n, pos, i, j)
+            fits = (root[i] != root[j]) & _may(n, pos, i, j)
             yield _pairs(sets, i[fits], j[fits]).assign(token=pd.array([None], "Int64")[0], n=0, pos=0)[["token", "a", "b", "n", "pos"]].astype({"token": "Int64"})
 
     return rows.repartition("token").sortWithinPartitions("token", "id").mapInPandas(run, "token long, a long, b long, n int, pos int")
@@ -160,15 +159,29 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(both.applyInPandas(run, "a long, b long"), "similar")
 
 
-def similar_sets(texts: DataFrame) -> DataFrame:
-    """(node, root) of every set of ``texts`` (id, text), a row for each different set, that similar pairs link to a lesser root."""
+def near_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) among those that ball hashing joins, of ``sets`` (id, fp) with their ``texts`` (id, text).
+
+    Sets of one fingerprint, and the least sets of fingerprints that link, are checked as wholes.
+    """
+    least = written(sets.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
+    alike = sets.join(least, "fp").filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    named = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"set_{c}"))
+    near = links(least.select("fp")).join(named("a"), "a").join(named("b"), "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    return linked(written(alike.unionByName(near).distinct(), "candidates"), texts)
+
+
+def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of every set that similar pairs link to a lesser root; ``sets`` (id, fp) and ``texts`` (id, text) have a row for each different set."""
+    near = near_sets(sets, texts)
+    roots = components(near)
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 yield pd.DataFrame({"token": np.concatenate([shingles(t) for t in batch["text"].iloc[at : at + 500]]).view(np.int64)})
 
-    part = max(1, texts.count() // ASKED)
+    part = max(1, sets.count() // ASKED)
     counted = texts.filter(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).mapInPandas(own, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     listed = counted.filter("c >= 5").orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()["token"]
     frequent = np.sort(listed.to_numpy(np.int64).view(np.uint64))
@@ -177,46 +190,53 @@ def similar_sets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                sets = [shingles(t) for t in part["text"]]
-                firsts = [prefix(s, frequent) for s in sets]
+                found = [shingles(t) for t in part["text"]]
+                firsts = [prefix(s, frequent) for s in found]
                 sizes = [len(f) for f in firsts]
                 pos = np.concatenate([np.arange(k) for k in sizes])
-                yield pd.DataFrame({"token": np.concatenate(firsts).view(np.int64), "id": np.repeat(part["id"].to_numpy(), sizes), "n": np.repeat([len(s) for s in sets], sizes), "pos": pos})
+                yield pd.DataFrame({"token": np.concatenate(firsts).view(np.int64), "id": np.repeat(part["id"].to_numpy(), sizes), "n": np.repeat([len(s) for s in found], sizes), "pos": pos, "root": np.repeat(part["root"].to_numpy(), sizes)})
 
-    met = written(meetings(texts.mapInPandas(run, "token long, id long, n int, pos int")), "meetings")
+    placed = lambda df, found: df.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    met = written(meetings(placed(texts, roots).mapInPandas(run, "token long, id long, n int, pos int, root long")), "meetings")
     first = written(met.filter("token is null").select("a", "b").distinct(), "pairs")
-    links = linked(first, texts)
+    found = near.unionByName(linked(first, texts))
     members = met.filter("token is not null").select("token", F.col("a").alias("id"), "n", "pos")
-    if not members.limit(1).count():
-        return components(links)
-    roots = components(links)
-    named = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    second = written(across(named).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    return components(links.unionByName(linked(second, texts)))
+    roots = components(found)
+    if members.limit(1).count():
+        second = written(across(placed(members, roots)).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+        roots = components(found.unionByName(linked(second, texts)))
+        discard(second)
+    discard(met)
+    discard(first)
+    return roots
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group that similarities of 0.8 or more link: that of the smallest doc_id (null last), then of the least text hash.
 
-    Texts of one set of shingles, texts without words among them, are copies.
+    Texts of one set of shingles, texts without words among them, are copies. The columns are packed into
+    one meanwhile, so no name of theirs can clash. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
-            own = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
-            yield pd.DataFrame({"kept_id": batch["kept_id"], "kept_null": batch["kept_null"], "kept_hash": batch["kept_hash"], "kept_set": own})
+            hashes = [shingle_hashes(t, SHINGLE_WORDS) for t in batch["text"]]
+            own = np.fromiter((xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED) for h in hashes), np.uint64, len(hashes)).view(np.int64)
+            fp = np.fromiter(map(majority, hashes), np.uint64, len(hashes)).view(np.int64)
+            yield pd.DataFrame({"kept_id": batch["kept_id"], "kept_null": batch["kept_null"], "kept_hash": batch["kept_hash"], "kept_set": own, "fp": fp})
 
     keys = ["kept_null", "kept_id", "kept_hash"]
-    keyed = {"kept_null": F.col("doc_id").isNull(), "kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "kept_hash": F.xxhash64(F.col("text").cast("string"))}
-    rows = docs.withColumns(keyed)
-    marked = rows.select(*keys, F.col("text").cast("string").alias("text")).mapInPandas(run, "kept_id long, kept_null boolean, kept_hash long, kept_set long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col("doc_id").isNull().alias("kept_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("kept_id"), F.xxhash64(text).alias("kept_hash"))
+    texts = rows.select(*keys, F.col("row.text").cast("string").alias("text"))
+    marked = texts.mapInPandas(run, "kept_id long, kept_null boolean, kept_hash long, kept_set long, fp long")
     first = F.min(F.struct(*keys)).alias("k")
-    firsts = written(marked.groupBy("kept_set").agg(first).select("kept_set", "k.*"), "firsts")
+    firsts = written(marked.groupBy("kept_set").agg(first, F.min("fp").alias("fp")).select("kept_set", "fp", "k.*"), "firsts")
     unique = written(rows.join(firsts, keys).dropDuplicates(keys), "unique")
-    roots = similar_sets(unique.select(F.col("kept_set").alias("id"), F.col("text").cast("string").alias("text")))
+    sets = firsts.select(F.col("kept_set").alias("id"), "fp")
+    roots = similar_sets(sets, unique.select(F.col("kept_set").alias("id"), F.col("row.text").cast("string").alias("text")))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # a root is no node of its own
     placed = firsts.join(roots.withColumnRenamed("node", "kept_set"), "kept_set")
     best = placed.groupBy("root").agg(first).select("root", "k.*")
     dropped = placed.select("kept_set").join(best.join(firsts, keys).select("kept_set"), "kept_set", "left_anti")
-    return unique.join(dropped, "kept_set", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unique.join(dropped, "kept_set", "left_anti").select("row.*")

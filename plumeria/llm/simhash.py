@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import written
+from .shared import discard, written
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -28,21 +28,33 @@ SEED = 42
 BLOCKS = (range(0, 22), range(22, 43), range(43, 64))
 #: Fingerprints that are compared with all later ones of their group at a time.
 COMPARED_AT_ONCE = 512
+#: A group of more fingerprints is dealt out again by parts of the blanked block.
+HOT = 2048
+#: Ways in which a node's links are dealt in a star step, so that no task holds all links of a hub.
+SALTS = 16
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """Bit b is set if it is set in over half of the shingles' hashes; zero for a text without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the runs of so many words, repeats included; of all words where there are fewer; none without words."""
     found = (text or "").encode().lower().split()  # of bytes: lower-cases A-Z, splits at ASCII white space
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False)) if len(found) > words else [b" ".join(found)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is set if it is set in over half of the hashes; zero for none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, text_hash, fp) of each row; fp holds the 64 bits as a long."""
 
@@ -121,40 +133,86 @@ def _links(group: np.ndarray, forest: _Forest) -> None:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b), a > b, that span every component of ``distinct`` (fp): each task keeps a forest of its links, not all pairs."""
+    """Links (a, b), a > b, that span every component of ``distinct`` (fp): each task keeps a forest of its links, not all pairs.
+
+    A group of over ``HOT`` fingerprints is not compared by the task that meets it: it is dealt out again.
+    Its members differ in 3 bits at most only if they agree on one of four parts of their blanked block,
+    so each goes to the four groups of its parts; of those, large ones are compared in blocks.
+    """
     emitted = distinct.select("fp", F.explode(variants(F.col("fp"))).alias("v")).select("v.block", "v.variant", "fp")
-    met = emitted.repartition("block", "variant").sortWithinPartitions("block", "variant", "fp")
+    found = written(_met(emitted, ["block", "variant"], HOT), "met")
+    hot = found.filter("a is null")
+    pairs = found.filter("a is not null").select("a", "b")
+    if not hot.limit(1).count():
+        return pairs
+    parts = []
+    for k, block in enumerate(BLOCKS):
+        for j in range(RADIUS + 1):
+            bits = sum(1 << b for b in block[j :: RADIUS + 1])
+            parts.append(F.when(F.col("block") == k, F.struct(F.lit(k * 8 + j).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(bits))).alias("value"))))
+    again = hot.select("variant", "fp", F.explode(F.array_compact(F.array(*parts))).alias("p")).select("variant", "p.part", "p.value", "fp")
+    return pairs.unionByName(_met(again, ["variant", "part", "value"], None).select("a", "b"))
+
+
+def _met(rows: DataFrame, keys: list[str], hot: int | None) -> DataFrame:
+    """(a, b, block, variant, fp): links between the fingerprints of each group of ``rows``; of groups over ``hot``, the members instead."""
+    met = rows.repartition(*keys).sortWithinPartitions(*keys, "fp")
+    longs = lambda x: pd.array(x, "Int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, held = _Forest(), None
+        forest, held, passed = _Forest(), [], None  # held: pieces of the group that may go on; passed: the hot group being passed on
+
+        def members(columns: list[np.ndarray]) -> pd.DataFrame:
+            n = len(columns[-1])
+            none = longs([None] * n)
+            return pd.DataFrame({"a": none, "b": none, "block": longs(columns[0].astype(np.int64)), "variant": longs(columns[1]), "fp": longs(columns[-1])})
 
-        def compare(block, variant, fp):
-            change = np.flatnonzero((variant[1:] != variant[:-1]) | (block[1:] != block[:-1])) + 1
+        def compare(columns: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+            fp = columns[-1].view(np.uint64)
+            change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:-1]])) + 1
             starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(fp)]])
             sizes = ends - starts
             for s in starts[sizes == 2].tolist():  # most groups
                 if (int(fp[s]) ^ int(fp[s + 1])).bit_count() <= RADIUS:
                     forest.join(int(fp[s]), int(fp[s + 1]))
             for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
-                _links(fp[s:e], forest)
+                if hot and e - s > hot:
+                    yield members([c[s:e] for c in columns])
+                else:
+                    _links(fp[s:e], forest)
 
         for batch in batches:
-            now = [batch["block"].to_numpy(), batch["variant"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)]
+            now = [batch[c].to_numpy() for c in (*keys, "fp")]
             if not len(now[0]):
                 continue
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = np.flatnonzero((now[1] != now[1][-1]) | (now[0] != now[0][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
-            if cut:
-                compare(*(x[:cut] for x in now))
-            held = [x[cut:] for x in now]
-        if held is not None:
-            compare(*held)
+            first, last = tuple(c[0] for c in now[:-1]), tuple(c[-1] for c in now[:-1])
+            opened = int(np.flatnonzero(np.logical_and.reduce([c == x for c, x in zip(now[:-1], last, strict=True)]))[0])  # where the last group begins
+            if passed is not None:
+                own = np.logical_and.reduce([c == x for c, x in zip(now[:-1], passed, strict=True)])
+                if n := int(own.sum()):
+                    yield members([c[:n] for c in now])
+                    now, opened = [c[n:] for c in now], opened - n
+                if not len(now[0]):
+                    continue
+                passed, first = None, tuple(c[0] for c in now[:-1])
+            if opened > 0 or (held and first != tuple(c[0] for c in held[0][:-1])):
+                done = [np.concatenate(x) for x in zip(*held, [c[: max(opened, 0)] for c in now], strict=True)]
+                yield from compare(done)
+                held = [[c[max(opened, 0) :] for c in now]]
+            else:
+                held.append(now)
+            if hot and sum(len(h[0]) for h in held) > hot:
+                passed = last
+                for h in held:
+                    yield members(h)
+                held = []
+        if held:
+            yield from compare([np.concatenate(x) for x in zip(*held, strict=True)])
         pairs = np.array([(x, forest.root(x)) for x in list(forest.up) if forest.root(x) != x], np.uint64).reshape(-1, 2).view(np.int64)
-        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        none = longs([None] * len(pairs))
+        yield pd.DataFrame({"a": longs(pairs[:, 0]), "b": longs(pairs[:, 1]), "block": none, "variant": none, "fp": none})
 
-    return met.mapInPandas(run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    return met.mapInPandas(run, "a long, b long, block long, variant long, fp long")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -169,7 +227,8 @@ def components(pairs: DataFrame) -> DataFrame:
         if large:
             both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        out = both.join(least, "u")
+        dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        out = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(dealt, ["u", "salt"])
         if large:
             out = out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -181,8 +240,9 @@ def components(pairs: DataFrame) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(20,0)"))).first()
         if now[0] == 0 or now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        before, old = now, edges
         edges = written(star(star(edges, True), False), "links")
+        discard(old)
 
 
 def classes(marked: DataFrame) -> DataFrame:
@@ -210,12 +270,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (null last), then of the least text hash.
 
-    Rows that share both are copies, and one of them stays.
+    Rows that share both are copies, and one of them stays. The columns are packed into one meanwhile, so
+    no name of theirs can clash.
     """
     marked = written(fingerprints(docs, words), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
-    kept = marked.join(classes(marked), "fp").groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
-    rows = docs.withColumns({"kept_hash": F.xxhash64(F.col("text").cast("string")), "kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "kept_null": F.col("doc_id").isNull()})
-    kept = kept.select(F.coalesce("kept_id", F.lit(-1)).alias("kept_id"), F.col("kept_id").isNull().alias("kept_null"), "kept_hash")
+    kept = marked.join(classes(marked), "fp").groupBy("root").agg(first.alias("k"))
+    kept = kept.select(F.coalesce("k.doc_id", F.lit(-1)).alias("kept_id"), F.col("k.unnamed").alias("kept_null"), F.col("k.text_hash").alias("kept_hash"))
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.xxhash64(F.col("text").cast("string")).alias("kept_hash"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("kept_id"), F.col("doc_id").isNull().alias("kept_null"))
     keys = ["kept_id", "kept_null", "kept_hash"]
-    return rows.join(kept, keys).dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(kept, keys).dropDuplicates(keys).select("row.*")
