@@ -26,7 +26,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles of similarity 0.8 or more link; every such pair is found."""
+    """One document of each group that five-word shingles of similarity 0.8 or more link: by SimHash, and beyond its ball by prefixes."""
     return one_of_each(docs)
 
 
@@ -38,7 +38,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality rules", quality_rules_stage),
     ("quality classifier", quality_classifier_stage),
-    ("near-dedup", near_duplicates_stage),
+    ("SimHash near-dedup", near_duplicates_stage),
     ("best-fit packing", packing_stage),
 ]
 #: SQL can't express the classifier, the near-copies or the packing.
