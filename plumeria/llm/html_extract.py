@@ -18,7 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: The name of a tag, and what cannot end it: ``>`` does, and quotes are read in pairs.
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^>\"']*+")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 NAME = re.compile(r"[a-z]+")
 #: Elements by what they are for.
@@ -55,13 +57,27 @@ class Costs:
 COSTS = Costs()
 
 
+@dataclass
+class Element:
+    """An open element: its number, and what its ancestors and itself say of what lies in it."""
+
+    tag: str
+    number: int
+    content: bool  #: one of them is a content element
+    around: int  #: boilerplate elements around the innermost content element
+    inside: int  #: and within it
+    heading: bool
+
+
 @dataclass
 class Block:
+    """A text block: its holder, the number of the holder's parent, and how many elements lie between it and the block before."""
+
     text: str
     links: int  #: characters of link text
-    path: tuple[int, ...]  #: numbers of the elements that hold it, outermost first
-    tags: tuple[str, ...]
-    signs: tuple[int, ...]  #: of those elements: 1 content, -1 boilerplate, 0 neither
+    holder: Element
+    parent: int
+    apart: int
 
 
 def _sign(tag: str, attributes: str) -> int:
@@ -74,37 +90,69 @@ def _sign(tag: str, attributes: str) -> int:
     return int(tag in CONTENT_TAGS or bool(names & CONTENT_NAMES))
 
 
+class _Tags:
+    """Ends of tags, in time linear in the page: no part of it is searched twice for the same thing."""
+
+    def __init__(self, page: str):
+        self._page, self._failed = page, set()
+        self._last = {c: page.rfind(c) for c in ">\"'"}
+        self._from = self._to = -1  # the last run without > and quotes
+
+    def find(self, char: str, at: int) -> int:
+        return self._page.find(char, at) if at <= self._last[char] else -1
+
+    def end(self, at: int) -> int:
+        """Where ``>`` ends the tag whose attributes begin at ``at``; -1 if none does. A quote that nothing closes is a character."""
+        page, seen = self._page, []
+        while True:
+            if not self._from <= at <= self._to:
+                self._from, self._to = at, PLAIN.match(page, at).end()
+            at = self._to
+            if at == len(page) or at in self._failed:
+                self._failed.update(seen)
+                return -1
+            if page[at] == ">":
+                return at
+            seen.append(at)
+            at = max(at, self.find(page[at], at + 1)) + 1
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order: character references decoded, white space (``<br>`` too) as one space, empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, number, sign
+    stack = [Element("", 0, False, 0, 0, False)]
+    opened: dict[str, list[int]] = {}  # places of open elements in the stack, by tag
     parts: list[str] = []
     links = count = at = anchors = unseen = 0
+    low = 1  # how far the stack was taken down since the last block
+    before = 0  # and how deep that block lay
+    tags = _Tags(page)
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, low, before
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, links, tuple(n for _, n, _ in stack), tuple(t for t, _, _ in stack), tuple(s for _, _, s in stack)))
+            out.append(Block(text, links, stack[-1], stack[-2].number if len(stack) > 1 else 0, before + len(stack) - 2 * low))
+            low = before = len(stack)
         parts.clear()
         links = 0
 
     def leave(index: int) -> None:
         """Close the elements from ``index`` on."""
-        nonlocal anchors, unseen
-        if any(t in BLOCKS for t, _, _ in stack[index:]):
+        nonlocal anchors, unseen, low
+        if any(e.tag in BLOCKS for e in stack[index:]):
             flush()
-        anchors -= sum(t == "a" for t, _, _ in stack[index:])
-        unseen -= sum(t in UNSEEN for t, _, _ in stack[index:])
-        del stack[index:]
-
-    def innermost(tags, stops=()) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in stops:
-                break
-        return -1
+        while len(stack) > index:
+            tag = stack.pop().tag
+            opened[tag].pop()
+            anchors -= tag == "a"
+            unseen -= tag in UNSEEN
+        low = min(low, len(stack))
+
+    def innermost(tag: str, stops=()) -> int:
+        place = lambda t: opened[t][-1] if opened.get(t) else -1
+        found = place(tag)
+        return found if found > max(map(place, stops), default=-1) else -1
 
     def read(text: str) -> None:
         nonlocal links
@@ -114,14 +162,31 @@ def blocks(page: str) -> list[Block]:
             if anchors:
                 links += len(text.strip())
 
-    while m := TAG.search(page, at):
-        read(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    done = 0  # what has been read
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            read(page[done:at])
+            done = at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith(("<!", "<?"), at):
+            end = tags.find(">", at)
+            if end >= 0:
+                read(page[done:at])
+                done = end + 1
+            at = end + 1 if end >= 0 else at + 1
+            continue
+        m = OPENING.match(page, at)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
+            at += 1
             continue
+        read(page[done:at])
+        attributes = page[m.end() : end]
+        done = at = end + 1
         tag, closing = m[2].lower(), bool(m[1])
         if closing:
-            if (k := innermost((tag,))) >= 0:
+            if (k := innermost(tag)) >= 0:
                 leave(k)
             elif tag == "p":
                 flush()
@@ -130,51 +195,84 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if tag in BLOCKS:
-            if tag in CLOSES_P and (k := innermost(("p",), ("table", "button", "object"))) >= 0:
+            if tag in CLOSES_P and (k := innermost("p", ("table", "button", "object"))) >= 0:
                 leave(k)
-            if tag in ITEMS and (k := innermost((tag,), ITEMS[tag])) >= 0:
+            if tag in ITEMS and (k := innermost(tag, ITEMS[tag])) >= 0:
                 leave(k)
             flush()
-        if tag == "body" and (k := innermost(("head",))) >= 0:
+        if tag == "body" and (k := innermost("head")) >= 0:
             leave(k)
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         count += 1
-        stack.append((tag, count, _sign(tag, m[3])))
+        sign, up = _sign(tag, attributes), stack[-1]
+        around, inside = (up.around + up.inside, 0) if sign > 0 else (up.around, up.inside + (sign < 0))
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append(Element(tag, count, up.content or sign > 0, around, inside, up.heading or tag in HEADINGS))
         anchors += tag == "a"
         unseen += tag in UNSEEN
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
-            at = end.start() if end else len(page)
-    read(page[at:])
+            done = at = end.start() if end else len(page)
+    read(page[done:])
     flush()
     return out
 
 
 def terminals(block: Block, costs: Costs = COSTS) -> tuple[float, float]:
     """(tie to content, tie to boilerplate) of a block."""
-    content = max((k for k, s in enumerate(block.signs) if s > 0), default=-1)
-    worse = sum(s < 0 for s in block.signs[:content]) if content >= 0 else 0
-    inside = any(s < 0 for s in block.signs[content + 1 :])
-    size = len(block.text)
-    good = min(costs.longest, costs.length * size) + costs.container * (content >= 0) + costs.heading * any(t in HEADINGS for t in block.tags)
-    bad = costs.boilerplate_inside * inside + costs.boilerplate_outside * worse + costs.links * min(1.0, block.links / size) + costs.notice * (block.text[0] in "©®")
-    return good, bad + costs.bare * (content < 0 and size < 40)
+    holder, size = block.holder, len(block.text)
+    good = min(costs.longest, costs.length * size) + costs.container * holder.content + costs.heading * holder.heading
+    bad = costs.boilerplate_inside * (holder.inside > 0) + costs.boilerplate_outside * holder.around + costs.links * min(1.0, block.links / size) + costs.notice * (block.text[0] in "©®")
+    return good, bad + costs.bare * (not holder.content and size < 40)
 
 
 def minimum_cut(good: list[float], bad: list[float], ties: dict[tuple[int, int], float]) -> list[bool]:
-    """Whether each node stays with the source (content): maximum flow by shortest augmenting levels, then what the source still reaches."""
+    """Whether each node stays with the source (content).
+
+    A node that one terminal holds more strongly than all its ties together goes there at once, and its ties
+    then count for its neighbours; what is left is cut by maximum flow.
+    """
     n = len(good)
+    net = [g - b for g, b in zip(good, bad, strict=True)]  # the lesser of the two flows through at once
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for (i, j), w in ties.items():
+        if w > 0:
+            near[i][j] = near[i].get(j, 0.0) + w
+            near[j][i] = near[j].get(i, 0.0) + w
+    slack = [sum(t.values()) for t in near]
+    kept: list[bool | None] = [None] * n
+    todo = list(range(n))
+    while todo:
+        i = todo.pop()
+        if kept[i] is None and abs(net[i]) > slack[i] + 1e-9:
+            kept[i] = net[i] > 0
+            for j, w in near[i].items():
+                if kept[j] is None:
+                    net[j] += w if kept[i] else -w
+                    slack[j] -= w
+                    todo.append(j)
+    rest = [i for i in range(n) if kept[i] is None]
+    if rest:
+        place = {i: k for k, i in enumerate(rest)}
+        inner = {(place[i], place[j]): w for i in rest for j, w in near[i].items() if i < j and j in place}
+        for i, side in zip(rest, _flow([net[i] for i in rest], inner), strict=True):
+            kept[i] = side
+    return [bool(k) for k in kept]
+
+
+def _flow(net: list[float], ties: dict[tuple[int, int], float]) -> list[bool]:
+    """Maximum flow by shortest augmenting levels, then what the source still reaches."""
+    n = len(net)
     source, sink = n, n + 1
     room: list[dict[int, float]] = [{} for _ in range(n + 2)]
-    for k, (g, b) in enumerate(zip(good, bad, strict=True)):
-        if g > b:  # the lesser of the two flows through at once
-            room[source][k], room[k][source] = g - b, 0.0
-        elif b > g:
-            room[k][sink], room[sink][k] = b - g, 0.0
+    for k, x in enumerate(net):
+        if x > 0:
+            room[source][k], room[k][source] = x, 0.0
+        elif x < 0:
+            room[k][sink], room[sink][k] = -x, 0.0
     for (i, j), w in ties.items():
-        room[i][j] = room[i].get(j, 0.0) + w
-        room[j][i] = room[j].get(i, 0.0) + w
+        room[i][j] = room[j][i] = w
 
     def levels() -> list[int]:
         level, todo = [-1] * (n + 2), deque([source])
@@ -212,21 +310,26 @@ def minimum_cut(good: list[float], bad: list[float], ties: dict[tuple[int, int],
 
 
 def main_text(page: str | None, costs: Costs = COSTS) -> str:
-    """Blocks labelled content, joined by line feeds."""
+    """Blocks labelled content, joined by line feeds.
+
+    A tie between two blocks weakens with the difference of their shares of link text, so a paragraph is not
+    drawn to the links beside it.
+    """
     found = blocks(page or "")
     good, bad = zip(*(terminals(b, costs) for b in found), strict=True) if found else ((), ())
+    share = [min(1.0, b.links / len(b.text)) for b in found]
     ties: dict[tuple[int, int], float] = {}
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
+
+    def tie(i: int, j: int, weight: float) -> None:
+        ties[i, j] = ties.get((i, j), 0.0) + weight * (1 - abs(share[i] - share[j]))
+
     for k, b in enumerate(found):
         if k:
-            before = found[k - 1].path
-            shared = next((d for d, (x, y) in enumerate(zip(before, b.path, strict=False)) if x != y), min(len(before), len(b.path)))
-            apart = len(before) + len(b.path) - 2 * shared
-            ties[k - 1, k] = costs.neighbours / (1 + apart)
-        holder = b.path[:-1]
-        if (j := last.get(holder)) is not None:
-            ties[j, k] = ties.get((j, k), 0.0) + costs.siblings
-        last[holder] = k
+            tie(k - 1, k, costs.neighbours / (1 + b.apart))
+        if (j := last.get(b.parent)) is not None:
+            tie(j, k, costs.siblings)
+        last[b.parent] = k
     return "\n".join(b.text for b, keep in zip(found, minimum_cut(list(good), list(bad), ties), strict=True) if keep)
 
 

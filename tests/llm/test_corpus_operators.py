@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -253,6 +254,19 @@ def test_main_text():
     assert H.main_text("<article><p>a < b <i title='>'>c</i></article>") == "a < b c"
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a \"" * 250_001, "<a '\">" * 200_000, "<div>" * 100_000, "<div>word " * 50_000, "<p><table>" + "<div>x" * 50_000, "<" * 1_000_000, "<!x " * 250_000, "<!--" * 250_000, "<p>" + "<b>" * 200_000 + "</i>" * 50_000])
+def test_long_pages_take_linear_time(page):
+    at = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - at < 8  # a quadratic scan would take hours
+
+
+def test_articles_between_links():
+    """Paragraphs that alternate with links, without a container, are all kept."""
+    pages = "".join(f"<p>Paragraph {k} tells at some length what happened there and who saw it, with names.</p><p><a href=/{k}>Read more of this</a></p>" for k in range(6))
+    assert H.main_text(pages) == "\n".join(f"Paragraph {k} tells at some length what happened there and who saw it, with names." for k in range(6))
+
+
 def test_cut_by_brute_force():
     rng = random.Random(8)
     for _ in range(40):
