@@ -26,8 +26,8 @@ WORD = r"[^\x20\x09-\x0D]"
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
-#: A longer word, with the marks after it, is not looked up among the common ones.
-LISTED_CHARS = 6
+#: Marks that a word may end in when it is looked up among the common ones.
+END_MARKS = ".,"
 #: Bits of a window's key that hold its place in the text; the others are its hash's.
 PLACE_BITS = 20
 
@@ -79,8 +79,8 @@ def _classes(chars: Column) -> Column:
 
 def _counts(words: Column) -> Column:
     """Count of each listed word: the listed words are joined with two spaces each, and what taking one out shortens counts it."""
-    short = F.filter(words, lambda w: F.length(w) <= LISTED_CHARS)
-    common = F.filter(F.transform(short, lambda w: F.rtrim(F.lower(w), F.lit(".,"))), lambda w: w.isin(_listed()))
+    bare = F.filter(F.transform(words, lambda w: F.rtrim(w, F.lit(END_MARKS))), lambda w: F.length(w) <= max(map(len, _listed())))
+    common = F.filter(F.transform(bare, F.lower), lambda w: w.isin(_listed()))
     one = lambda text, w: ((F.length(text) - F.length(F.replace(text, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("long")
     return _let(F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" ")), lambda text: F.transform(F.array(*map(F.lit, _listed())), lambda w: one(text, w)))
 
@@ -123,25 +123,29 @@ def js_distance(counts: Column, total: Column, reference: tuple[float, ...]) ->
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in three-word windows that occur twice or more: windows sorted by hash, those equal to a neighbour, and what their places cover.
+    """Words in three-word windows that occur twice or more: windows sorted, those equal to a neighbour, and what their places cover.
 
-    A window's key is one number, its hash above its place; of equal keys the words are compared. Texts
-    too long for that sort pairs of whole hash and place.
+    A window's key is one number, its hash above its place, and of neighbours with equal hashes the words
+    are compared. Where they differ, or where places need more bits, windows are sorted by hash and words,
+    so that equal ones are neighbours whatever their hashes: the result is exact either way.
     """
     n = F.size(words)
     hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
     places = F.sequence(F.lit(0), F.greatest(n, F.lit(3)) - 3)
     mask = (1 << PLACE_BITS) - 1
     place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
-    same = lambda x, y: (F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)) & (F.slice(words, place(x) + 1, F.lit(3)) == F.slice(words, place(y) + 1, F.lit(3)))
+    meet = lambda x, y: F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS)
+    differ = lambda x, y: meet(x, y) & (F.slice(words, place(x) + 1, F.lit(3)) != F.slice(words, place(y) + 1, F.lit(3)))
     keys = F.transform(places, lambda i: F.shiftleft(F.shiftright(hashed(i), PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long")))
-    near = lambda s: F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
-    short = F.transform(_let(F.sort_array(keys), near), place)
-    pairs = F.transform(places, lambda i: F.struct(hashed(i).alias("h"), i.alias("i")))
-    equal = lambda s: F.filter(s, lambda x, j: (x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"]))
-    long = F.transform(_let(F.sort_array(pairs), equal), lambda x: x["i"])
+    near = lambda s: F.transform(F.filter(s, lambda x, j: meet(x, F.get(s, j - 1)) | meet(x, F.get(s, j + 1))), place)
+    clash = lambda s: F.exists(F.filter(s, lambda x, j: differ(x, F.get(s, j + 1))), lambda x: F.lit(True))
+    wide = F.transform(places, lambda i: F.struct(hashed(i).alias("h"), F.slice(words, i + 1, F.lit(3)).alias("w"), i.alias("i")))
+    alike = lambda x, y: (x["h"] == y["h"]) & (x["w"] == y["w"])
+    equal = lambda s: F.filter(s, lambda x, j: alike(x, F.get(s, j - 1)) | alike(x, F.get(s, j + 1)))
+    exact = F.transform(_let(F.sort_array(wide), equal), lambda x: x["i"])
+    either = _let(F.sort_array(keys), lambda s: F.when(clash(s), exact).otherwise(near(s)))
     start = F.struct(F.lit(-3).alias("p"), F.lit(0).cast("long").alias("n"))
-    twice = F.sort_array(F.when(n < 3, F.array().cast("array<int>")).when(n <= mask, short).otherwise(long))
+    twice = F.sort_array(F.when(n < 3, F.array().cast("array<int>")).when(n <= mask, either).otherwise(exact))
     return F.aggregate(twice, start, lambda a, x: F.struct(x.alias("p"), (a["n"] + F.least(F.lit(3), x - a["p"])).alias("n")), lambda a: a["n"])
 
 
@@ -156,9 +160,11 @@ def verdict(text: Column, references: References, limits: QualityLimits = LIMITS
         for k, (classes, words) in sorted(references.items()):
             bins = _let(_own(h["counts"], k), lambda own: F.concat(own, F.array(h["n"] - _sum(own))))
             near.append(F.struct(js_distance(bins, h["n"], words).alias("word"), js_distance(h["classes"], _sum(h["classes"]), classes).alias("class")))
-        nearest = F.when(h["n"] > 0, F.array_min(F.array(*near))) if near else F.lit(None).cast("struct<word:double,class:double>")
+        within = lambda x: (x["word"] <= limits.word_distance) & (x["class"] <= limits.class_distance)
+        best = lambda all_: F.array_min(F.transform(all_, lambda x: F.struct((~within(x)).alias("far"), x["word"].alias("word"), x["class"].alias("class"))))
+        nearest = F.when(h["n"] > 0, _let(F.array(*near), best)) if near else F.lit(None).cast("struct<far:boolean,word:double,class:double>")
         failed = (h["n"] < limits.min_words) | (100 * h["repeats"] > limits.repeat_percent * h["n"])
-        far = lambda x: (h["n"] >= limits.guard_words) & F.coalesce((x["word"] > limits.word_distance) | (x["class"] > limits.class_distance), F.lit(False))
+        far = lambda x: (h["n"] >= limits.guard_words) & F.coalesce(x["far"], F.lit(False))
         return _let(nearest, lambda x: F.struct(
             h["n"].alias("n_words"), _sum(h["classes"]).alias("word_chars"), symbols.alias("n_symbols"), duplicates.alias("n_dup_lines"), h["repeats"].alias("n_repeat_words"),
             failed.alias("base_failed"), (~failed & ~far(x)).alias("kept"), x["word"].alias("word_distance"), x["class"].alias("class_distance"),
@@ -172,13 +178,15 @@ def with_quality(docs: DataFrame, references: References, limits: QualityLimits
 
     A document is kept if it passes the base limits and some reference language is near in both
     histograms; one with fewer than ``guard_words`` words, and any if there are no references, is judged
-    by the base limits alone. Null and empty texts have no words and fail. Each row is judged by itself,
+    by the base limits alone. The distances are those of a language that is near in both, or else of the one
+    nearest by words. Null and empty texts have no words and fail. Each row is judged by itself,
     so repeated rows get the same verdict and ties do not arise; other columns pass through, and columns
     of those names are replaced.
     """
-    judged = docs.withColumn("quality_verdict", verdict(F.col("text"), references, limits))
+    own = "quality_verdict" + "_" * max(map(len, docs.columns), default=0)  # longer than any column's name
+    judged = docs.withColumn(own, verdict(F.col("text"), references, limits))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_distance", "class_distance"]
-    return judged.select(*(n for n in docs.columns if n not in added), *(F.col(f"quality_verdict.{n}").alias(n) for n in added))
+    return judged.select(*(F.col(f"`{n}`") for n in docs.columns if n not in added), *(F.col(f"{own}.{n}").alias(n) for n in added))
 
 
 def quality_rules(docs: DataFrame, limits: QualityLimits = LIMITS) -> DataFrame:
@@ -212,7 +220,7 @@ WITH base AS (
 counted AS (
   SELECT doc_id, len(w)::BIGINT AS n, array_to_string(w, '') AS chars, regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g') AS symbols,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, E' \\t\\n\\x0b\\f\\r') != '') AS lines,
-    list_filter(list_transform(list_filter(w, lambda x: length(x) <= {LISTED_CHARS}), lambda x: rtrim(lower(x), '.,')), lambda x: list_contains({array}, x)) AS common, w
+    list_filter(list_transform(w, lambda x: lower(rtrim(x, '{END_MARKS}'))), lambda x: list_contains({array}, x)) AS common, w
   FROM base),
 windows AS (SELECT doc_id, n, w, unnest(range(1, n - 1)) AS i FROM counted WHERE n >= 3),
 keyed AS (SELECT doc_id, i, w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2] AS k FROM windows),
@@ -227,8 +235,8 @@ features AS (
 placed AS (SELECT *, [raw[1], raw[2] - raw[1], raw[3], raw[4], word_chars - raw[2] - raw[3] - raw[4]] AS classes, {prevailing} AS language FROM features),
 summed AS (SELECT language, [{", ".join(f"sum({c})" for c in classes)}] AS c, {refs} AS w FROM placed WHERE language IS NOT NULL GROUP BY language),
 refs AS (SELECT language, list_transform(c, lambda x: x::DOUBLE / list_sum(c)) AS q_class, list_transform(w, lambda x: x::DOUBLE / list_sum(w)) AS q_word FROM summed),
-judged AS (SELECT p.*, CASE WHEN n > 0 THEN list_min(list_filter([{pairs}], lambda x: x IS NOT NULL)) END AS near FROM placed p {" ".join(f"LEFT JOIN refs r{k} ON r{k}.language = '{k}'" for k in own)}),
+judged AS (SELECT p.*, CASE WHEN n > 0 THEN list_filter([{pairs}], lambda x: x IS NOT NULL) ELSE [] END AS near FROM placed p {" ".join(f"LEFT JOIN refs r{k} ON r{k}.language = '{k}'" for k in own)}),
 failed AS (SELECT *, n < {limits.min_words} OR 100 * n_repeat_words > {limits.repeat_percent} * n AS base_failed FROM judged)
 SELECT doc_id, n AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n >= {limits.guard_words} AND coalesce(near.word > {limits.word_distance} OR near.class > {limits.class_distance}, false)) AS kept
+  NOT base_failed AND NOT (n >= {limits.guard_words} AND len(near) > 0 AND len(list_filter(near, lambda x: x.word <= {limits.word_distance} AND x.class <= {limits.class_distance})) = 0) AS kept
 FROM failed"""
