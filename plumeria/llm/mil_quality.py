@@ -85,41 +85,45 @@ class Model:
         h = np.column_stack([np.tanh(x @ self.w), np.ones(len(bags))])
         t, s = np.tanh(h @ self.v), 1 / (1 + np.exp(-(h @ self.u)))
         e = (t * s) @ self.a
-        top = np.full(n, -np.inf)
-        np.maximum.at(top, of, e)
-        e = np.exp(e - top[of])
+        firsts = np.searchsorted(of, np.arange(n))  # each document has a passage
+        e = np.exp(e - np.maximum.reduceat(e, firsts)[of])
         att = e / np.bincount(of, e, n)[of]
-        z = np.zeros((n, h.shape[1]))
-        np.add.at(z, of, att[:, None] * h)
+        z = np.add.reduceat(att[:, None] * h, firsts)
         p = 1 / (1 + np.exp(-np.clip(z @ self.c, -30, 30)))
         return {"x": x, "h": h, "t": t, "s": s, "att": att, "z": z, "p": p}
 
-    def score(self, text: str | None) -> float:
-        bag = encode(text)
-        return float(self.forward(bag, np.zeros(len(bag), np.int64), 1)["p"][0])
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        bags = [encode(t) for t in texts]
+        return self.forward(np.concatenate(bags), np.repeat(np.arange(len(bags)), list(map(len, bags))), len(bags))["p"]
+
+
+def gradients(model: Model, bags: np.ndarray, of: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy, by the names of the weights."""
+    n = len(y)
+    f = model.forward(bags, of, n)
+    d = (f["p"] - y) / n
+    dz = d[:, None] * model.c
+    dh = f["att"][:, None] * dz[of]
+    datt = (dz[of] * f["h"]).sum(axis=1)
+    de = f["att"] * (datt - np.bincount(of, f["att"] * datt, n)[of])
+    dt = de[:, None] * model.a * f["s"] * (1 - f["t"] ** 2)
+    ds = de[:, None] * model.a * f["t"] * f["s"] * (1 - f["s"])
+    dh += dt @ model.v.T + ds @ model.u.T
+    return {
+        "c": f["z"].T @ d, "a": (f["t"] * f["s"]).T @ de, "v": f["h"].T @ dt, "u": f["h"].T @ ds,
+        "w": f["x"].T @ (dh[:, :-1] * (1 - f["h"][:, :-1] ** 2)),
+    }
 
 
 def train(bags: np.ndarray, of: np.ndarray, y: np.ndarray) -> Model:
     """Full-batch Adam on the cross-entropy."""
-    rng, n = np.random.default_rng(SEED), len(y)
+    rng = np.random.default_rng(SEED)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     model = Model(bags.mean(axis=0), bags.std(axis=0) + 1e-3, draw(FEATURES + 1, HIDDEN), draw(HIDDEN + 1, GATE), draw(HIDDEN + 1, GATE), draw(GATE), draw(HIDDEN + 1) * 0.1)
     names = ("w", "v", "u", "a", "c")
     first, second = ({k: np.zeros_like(getattr(model, k)) for k in names} for _ in range(2))
     for epoch in range(1, EPOCHS + 1):
-        f = model.forward(bags, of, n)
-        d = (f["p"] - y) / n
-        dz = d[:, None] * model.c
-        dh = f["att"][:, None] * dz[of]
-        datt = (dz[of] * f["h"]).sum(axis=1)
-        de = f["att"] * (datt - np.bincount(of, f["att"] * datt, n)[of])
-        dt = de[:, None] * model.a * f["s"] * (1 - f["t"] ** 2)
-        ds = de[:, None] * model.a * f["t"] * f["s"] * (1 - f["s"])
-        dh += dt @ model.v.T + ds @ model.u.T
-        grads = {
-            "c": f["z"].T @ d, "a": (f["t"] * f["s"]).T @ de, "v": f["h"].T @ dt, "u": f["h"].T @ ds,
-            "w": f["x"].T @ (dh[:, :-1] * (1 - f["h"][:, :-1] ** 2)),
-        }
+        grads = gradients(model, bags, of, y)
         for k in names:
             now = getattr(model, k)
             g = grads[k] + DECAY * now
@@ -129,25 +133,22 @@ def train(bags: np.ndarray, of: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-#: Documents that a model is fitted on, and passages of one of them, at most, spread evenly over it.
-FITTED_DOCUMENTS, FITTED_PASSAGES = 6_000, 64
+#: Documents that a model is fitted on, at most, each with all its passages.
+FITTED_DOCUMENTS = 6_000
+#: Documents whose passages are scored at a time.
+SCORED_AT_ONCE = 1_000
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = FITTED_DOCUMENTS) -> Model | None:
     """Fit on at most ``limit`` labelled documents that are not held out; None without labels of both kinds.
 
-    Executors encode; the driver gets ``limit`` times ``FITTED_PASSAGES`` rows of FEATURES numbers at
-    most. Scoring takes all passages.
+    Executors encode; the driver gets FEATURES numbers for each passage of the sample, about 1 % of its
+    text's size.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text, y in zip(batch["text"], batch["y"], strict=True):
-                bag = encode(text)
-                if len(bag) > FITTED_PASSAGES:
-                    bag = bag[np.linspace(0, len(bag) - 1, FITTED_PASSAGES).astype(int)]
-                rows.append((bag.astype("<f4").tobytes(), int(y)))
+            rows = [(encode(text).astype("<f4").tobytes(), int(y)) for text, y in zip(batch["text"], batch["y"], strict=True)]
             yield pd.DataFrame(rows, columns=["bag", "y"])
 
     got = labelled_sample(docs, labels, "quality", limit).mapInPandas(run, "bag binary, y int").collect()
@@ -169,7 +170,8 @@ def score_quality(docs: DataFrame, model: Model | None, threshold: float = THRES
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([model.score(t) if model else 0.5 for t in texts], dtype=float)
+            parts = [model.scores(list(texts.iloc[at : at + SCORED_AT_ONCE])) for at in range(0, len(texts), SCORED_AT_ONCE)] if model else [np.full(len(texts), 0.5)]
+            yield pd.Series(np.concatenate([*parts, np.empty(0)]), dtype=float)
 
     score = F.pandas_udf(run, "double")
     out = docs.select(*(F.col(f"`{f.name}`") for f in kept)).withColumn("score", score(F.col("text").cast("string")))

@@ -2,8 +2,9 @@
 
 A clause is read as symbols: insult, threat, target (who is addressed), negation, reported speech, or
 none of these. Three small transducers weigh an insult or threat by what stands before it in its
-clause: a negation takes most of its weight, reported speech some, and a target adds to it. Their
-composition is one deterministic machine, and a clause scores the sum of its patterns' weights as that
+clause: a negation takes most of its weight, reported speech some, and a target adds to it. Two more
+weigh what the patterns themselves do: an insult after another in its clause weighs less, and a threat
+that is announced ("will") more. The five are composed; their composition is one deterministic machine, and a clause scores the sum of its patterns' weights as that
 machine passes them on. Patterns are words or beginnings of words: a short list, and those that the
 labelled documents teach. A document's score is a logistic function of its clauses' scores.
 """
@@ -11,6 +12,7 @@ labelled documents teach. A document's score is a logistic function of its claus
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import product
@@ -29,12 +31,13 @@ WORDS = {
     "threat": "kill hurt destroy murder strangle shoot töten umbringen tuer frapper matar golpear",
     "target": "you your yours yourself they he she du dich dein ihr euch sie tu toi vous votre ton tú tu usted ustedes",
     "negation": "not no never none nobody neither nor without nicht kein keine nie pas jamais ni sans nunca jamás ningún",
+    "intent": "will shall gonna going must werde wirst vais va voy vamos",
     "reported": "said says wrote writes told claimed quoted called calls sagte schrieb behauptete dit disait écrit dijo dice escribió",
 }
 #: What a negation reaches over, and how each transducer weighs.
-NEGATION_WORDS, NEGATED, REPORTED, TARGETED = 3, 0.25, 0.5, 1.25
+NEGATION_WORDS, NEGATED, REPORTED, TARGETED, REPEATED, INTENDED = 3, 0.25, 0.5, 1.25, 0.75, 1.5
 #: A pattern is learned if so many labelled documents (near copies counted once) have it, at these log-odds at least.
-MIN_DOCUMENTS, MIN_LOG_ODDS, MAX_PATTERNS = 4, 3.0, 5000
+MIN_DOCUMENTS, MIN_LOG_ODDS = 4, 3.0
 PREFIX_LENGTHS = (4, 5, 6, 7, 8)
 LISTED_WEIGHT = 4.0
 THRESHOLD = 0.3
@@ -69,6 +72,16 @@ def flag(symbol: str, factor: float) -> Transducer:
     return Transducer(0, {(0, symbol): (1, 1.0), (1, "insult"): (1, factor), (1, "threat"): (1, factor)})
 
 
+def insult(factor: float = REPEATED) -> Transducer:
+    """State 1 once an insult has been read: the next ones add less."""
+    return Transducer(0, {(0, "insult"): (1, 1.0), (1, "insult"): (1, factor)})
+
+
+def threat(factor: float = INTENDED) -> Transducer:
+    """State 1 once an intent has been read: threats then weigh more."""
+    return Transducer(0, {(0, "intent"): (1, 1.0), (1, "threat"): (1, factor)})
+
+
 def compose(*parts: Transducer) -> Transducer:
     """The product machine: all parts read the same symbols, and their factors multiply."""
     symbols = [*WORDS, ""]
@@ -91,10 +104,10 @@ class Grammar:
 
     patterns: dict[tuple[str, bool], tuple[str, float]]
     logistic: tuple[float, ...] = (1.0, 0.5, 0.0, -3.0)
-    machine: Transducer = field(default_factory=lambda: compose(negation(), flag("reported", REPORTED), flag("target", TARGETED)))
+    machine: Transducer = field(default_factory=lambda: compose(insult(), threat(), negation(), flag("reported", REPORTED), flag("target", TARGETED)))
 
     def __post_init__(self):
-        self._symbols = {w: s for s in ("target", "negation", "reported") for w in WORDS[s].split()}
+        self._symbols = {w: s for s in ("target", "negation", "intent", "reported") for w in WORDS[s].split()}
         self._finder = ahocorasick.Automaton()
         for (text, begins), (symbol, weight) in self.patterns.items():
             self._finder.add_word(text, (*self._finder.get(text, ()), (len(text), begins, symbol, weight)))
@@ -149,8 +162,7 @@ def learn_patterns(sample: DataFrame) -> dict[tuple[str, bool], tuple[str, float
     """Words and word beginnings of (text, y) rows that mark label 1; of patterns that begin alike, the shortest,
     spelled out as far as no document is lost.
 
-    The counts are made on Spark; only patterns that pass reach the driver, ``MAX_PATTERNS`` at most (a
-    limit of the model, best first).
+    The counts are made on Spark; all patterns that pass reach the driver, which the sample bounds.
     """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,13 +178,15 @@ def learn_patterns(sample: DataFrame) -> dict[tuple[str, bool], tuple[str, float
     size = sample.agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).first()
     ones, zeros = float(size.y or 0), float((size.n or 0) - (size.y or 0))
     odds = F.log((F.col("hit") + 0.5) / (ones + 1)) - F.log((F.col("miss") + 0.5) / (zeros + 1))
-    rows = counted.withColumn("odds", odds).filter((F.col("hit") >= MIN_DOCUMENTS) & (F.col("odds") >= MIN_LOG_ODDS)).orderBy(F.desc("hit"), "pattern", "begins").limit(MAX_PATTERNS).collect()
+    rows = counted.withColumn("odds", odds).filter((F.col("hit") >= MIN_DOCUMENTS) & (F.col("odds") >= MIN_LOG_ODDS)).collect()
+    listed = sorted(rows, key=lambda r: (r.pattern, r.begins))
+    spelled = [r.pattern for r in listed]
     shortest: set[str] = set()
     kept: dict[tuple[str, bool], tuple[str, float]] = {}
-    for row in sorted(rows, key=lambda r: (len(r.pattern), not r.begins)):
+    for row in sorted(listed, key=lambda r: (len(r.pattern), not r.begins)):
         if not any(row.pattern[:k] in shortest for k in PREFIX_LENGTHS if k <= len(row.pattern)):
-            same = [r for r in rows if r.pattern.startswith(row.pattern) and r.hit >= row.hit and r.miss <= row.miss] if row.begins else [row]
-            longest = max(same, key=lambda r: (len(r.pattern), not r.begins))
+            longer = listed[bisect_left(spelled, row.pattern) : bisect_right(spelled, row.pattern + chr(0x10FFFF))] if row.begins else [row]
+            longest = max((r for r in longer if r.hit >= row.hit and r.miss <= row.miss), key=lambda r: (len(r.pattern), not r.begins, r.pattern))
             kept[longest.pattern, longest.begins] = "insult", min(float(longest.odds), 8.0)
             if row.begins:
                 shortest.add(row.pattern)

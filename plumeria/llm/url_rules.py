@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 LISTED_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Words in a host that label its URLs "block", for want of labels by hand.
 BLOCK_WORDS = frozenset("casino bets betting pills viagra pharma porn adult xxx spam ads adserver track tracker".split())
-#: Labelled URLs that rules are mined from, at most; what a combination needs; rules that a model holds.
-MAX_LABELLED, MIN_SUPPORT, MIN_CONFIDENCE, MAX_RULES = 40_000, 0.001, 0.9, 2_000
-#: A token in more of the labelled URLs than this tells nothing, and costs FP-growth most.
-MAX_SHARE = 0.5
+#: Different labelled URLs that rules are mined from, at most, and what a combination needs.
+MAX_LABELLED, MIN_SUPPORT, MIN_CONFIDENCE = 40_000, 0.001, 0.9
 BLOCK = "=block"
 
 
@@ -79,12 +77,14 @@ def weak_labels(urls: DataFrame) -> DataFrame:
 
 
 def mine_rules(labelled: DataFrame, limit: int = MAX_LABELLED) -> list[Rule]:
-    """Block rules of (url, blocked) rows, by FP-growth over at most ``limit`` of them, drawn by hash.
+    """Block rules of (url, blocked) rows, by FP-growth over at most ``limit`` different ones, drawn by hash.
 
-    Rules reach the driver, ``MAX_RULES`` at most, best confidence and support first. No labelled row,
-    or no blocked one, gives no rules.
+    A repeated URL counts once, so copies fill no sample; labelled both ways, it counts as blocked. All
+    rules that the sample supports reach the driver, but for those that a part of them implies. No
+    labelled row, or no blocked one, gives no rules.
     """
-    drawn = labelled.select(F.col("url").cast("string"), F.col("blocked").cast("boolean")).dropna().orderBy(F.xxhash64("url"), "url", "blocked").limit(limit)
+    each = labelled.select(F.col("url").cast("string"), F.col("blocked").cast("boolean")).dropna().groupBy("url").agg(F.bool_or("blocked").alias("blocked"))
+    drawn = each.orderBy(F.xxhash64("url"), "url").limit(limit)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -95,13 +95,10 @@ def mine_rules(labelled: DataFrame, limit: int = MAX_LABELLED) -> list[Rule]:
     if not total or not rows.filter("blocked").limit(1).count():
         rows.unpersist()
         return []
-    shares = {r.token: r.n / total for r in rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SUPPORT * total).collect()}
-    common = [t for t, s in shares.items() if s > MAX_SHARE]
-    items = F.array_except("tokens", F.array(*map(F.lit, common))) if common else F.col("tokens")
-    items = F.when(F.col("blocked"), F.array_append(items, F.lit(BLOCK))).otherwise(items)
+    items = F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens"))
     model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(rows.select(items.alias("items")))
     mined = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK)))
-    best = mined.orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), F.concat_ws(" ", F.array_sort("antecedent"))).limit(4 * MAX_RULES).collect()
+    best = mined.orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), F.concat_ws(" ", F.array_sort("antecedent"))).collect()
     rows.unpersist()
     kept: list[Rule] = []
     index: dict[str, list[Rule]] = defaultdict(list)
@@ -109,8 +106,8 @@ def mine_rules(labelled: DataFrame, limit: int = MAX_LABELLED) -> list[Rule]:
         rule = Rule(frozenset(row.antecedent), float(row.confidence), float(row.support))
         if not any(r.tokens <= rule.tokens and r.confidence >= rule.confidence for t in rule.tokens for r in index[t]):
             kept.append(rule)
-            index[min(rule.tokens, key=lambda t: (shares[t], t))].append(rule)
-    return sorted(kept, key=lambda r: (-r.confidence, -r.support, sorted(r.tokens)))[:MAX_RULES]
+            index[min(rule.tokens)].append(rule)
+    return sorted(kept, key=lambda r: (-r.confidence, -r.support, sorted(r.tokens)))
 
 
 class RuleIndex:

@@ -196,6 +196,8 @@ def test_machine_weighs_context():
     assert score("an idiot here") == 4 and score("you idiot") == 5 and score("not an idiot") == 1 and score("she said idiot") == 2.5
     assert score("no. an idiot") == 4 and score("idiotic things") == 0 and score("vequaire but xvequ") == 4
     assert score("not one two three four idiot") == 4
+    h = toxicity.Grammar({("kill", False): ("threat", 4.0), ("idiot", False): ("insult", 4.0)})
+    assert sum(s for *_, s in h.clauses("will kill")) == 6 and sum(s for *_, s in h.clauses("kill idiot idiot")) == 11
     assert g.clauses("nothing") == [] and toxicity.Grammar({}).clauses("idiot") == []
 
 
@@ -237,6 +239,40 @@ def test_gradients():
     model = mil_quality.train(bags, of, y)
     assert ((model.forward(bags, of, 10)["p"] > 0.5) == y).all()
     assert np.allclose(np.bincount(of, model.forward(bags, of, 10)["att"]), 1)
+    loss = lambda m: -np.log(np.where(y > 0, m.forward(bags, of, 10)["p"], 1 - m.forward(bags, of, 10)["p"])).mean()
+    for name in "wvuac":  # a shorter way, so that no gradient vanishes
+        setattr(model, name, getattr(model, name) * 0.3)
+    for name, grad in mil_quality.gradients(model, bags, of, y).items():
+        weights = getattr(model, name)
+        for at in list(np.ndindex(weights.shape))[:: max(1, weights.size // 7)]:
+            was, change = weights[at], []
+            for step in (1e-5, -1e-5):
+                weights[at] = was + step
+                change.append(loss(model))
+            weights[at] = was
+            assert abs((change[0] - change[1]) / 2e-5 - grad[at]) < 1e-6, (name, at)
+
+
+def test_scores_are_each_documents_own(docs):
+    rng = np.random.default_rng(1)
+    model = mil_quality.train(rng.normal(size=(40, mil_quality.FEATURES)), np.repeat(np.arange(10), 4), (np.arange(10) % 2).astype(float))
+    texts = [None, "", "a b c", "word " * 1000, "x " * 300]
+    assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts])
+
+
+def test_guard_keeps_short_texts(docs):
+    """With a lower least number of words, texts below the guard are judged by the base limits alone."""
+    rng = random.Random(5)
+    prose = [" ".join(rng.choice("the of and to in is that for it was with as river stone walk green window".split()) for _ in range(120)) + "." for _ in range(30)]
+    junk = [" ".join(f"{rng.choice('abcdefgh')}{k}##$$%%|" for k in range(n)) for n in (30, 49, 50, 90)]
+    kept = {r.doc_id for r in quality_rules.quality_rules(docs(prose + junk), quality_rules.QualityLimits(min_words=5)).filter("kept").collect()}
+    assert kept == {*range(30), 30, 31}
+
+
+def test_verdict_leaves_callers_columns(docs):
+    own = docs(["a b c"]).withColumn("quality_verdict", F.lit(7)).withColumn("kept", F.lit("old"))
+    row = quality_rules.quality_rules(own).first()
+    assert row.quality_verdict == 7 and row.kept is False
 
 
 # Main text
