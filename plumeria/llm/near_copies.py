@@ -25,8 +25,10 @@ from .simhash import SEED, components, links, majority, shingle_hashes
 SHINGLE_WORDS = 5
 #: The least similarity, as a fraction: 4 / 5.
 OVER, UNDER = 4, 5
-#: Sets that are asked for frequent shingles, and such shingles at most; they set the order, not the result.
-ASKED, FREQUENT = 20_000, 200_000
+#: One of so many sets is asked for shingles that others have too, and so many of these are kept at most (8 MB); they set the order, not the result.
+ASKED, FREQUENT = 8, 1_000_000
+#: Bits of a set's sketch.
+SKETCH_BITS = 512
 #: Sets of one shingle beyond which they are compared with a few of them first, and then only across what that left apart.
 LARGE, HUBS = 64, 3
 #: Texts of one end that are compared in a cell, about.
@@ -47,6 +49,30 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return UNDER * both >= OVER * (len(x) + len(y) - both)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """A bit for each residue of the set's members: whether their number is odd."""
+    counts = np.bincount((own % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``sets`` (id, n, bits) can be similar; none that is similar is lost.
+
+    Each bit in which two sketches differ stands for a member that only one set has, and sets of similarity
+    0.8 have at most a ninth of both sizes of these. So few texts have to be read again.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("bits_a", "bits_b"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.loc[(OVER + UNDER) * apart <= batch["n"].to_numpy(), ["a", "b"]]
+
+    end = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "bits_a", "bits_b")
+    return written(both.mapInPandas(run, "a long, b long"), "plausible")
+
+
 def prefix(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The members of a set that decide whom it meets, frequent ones last."""
     at = np.minimum(np.searchsorted(frequent, own), max(0, len(frequent) - 1))
@@ -138,8 +164,8 @@ def across(members: DataFrame) -> DataFrame:
     return members.repartition("token").sortWithinPartitions("token", "id").mapInPandas(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose ``texts`` (id, text) are similar.
+def linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``texts`` (id, text) are similar, of those that are ``plausible``.
 
     Pairs are dealt into cells by the hashes of both ends, so a text goes to a cell once for all its pairs there,
     and what a cell holds doesn't grow with the table.
@@ -150,6 +176,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         fits = [similar(sets[a], sets[b]) for a, b in zip(some["a"], some["b"], strict=True)]
         return some.loc[np.array(fits, bool), ["a", "b"]]
 
+    pairs = plausible(pairs, sets)
     ends = F.explode(F.array("a", "b")).alias("id")
     side = 8 + pairs.select(ends).distinct().count() // TEXTS_AT_ONCE
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
@@ -160,7 +187,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Similar pairs (a, b) among those that ball hashing joins, of ``sets`` (id, fp) with their ``texts`` (id, text).
+    """Similar pairs (a, b) among those that ball hashing joins, of ``sets`` (id, fp, n, bits) with their ``texts`` (id, text).
 
     Sets of one fingerprint, and the least sets of fingerprints that link, are checked as wholes.
     """
@@ -168,11 +195,11 @@ def near_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     alike = sets.join(least, "fp").filter("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     named = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"set_{c}"))
     near = links(least.select("fp")).join(named("a"), "a").join(named("b"), "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
-    return linked(written(alike.unionByName(near).distinct(), "candidates"), texts)
+    return linked(alike.unionByName(near).distinct(), sets, texts)
 
 
 def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of every set that similar pairs link to a lesser root; ``sets`` (id, fp) and ``texts`` (id, text) have a row for each different set."""
+    """(node, root) of every set that similar pairs link to a lesser root; ``sets`` (id, fp, n, bits) and ``texts`` (id, text) have a row for each different set."""
     near = near_sets(sets, texts)
     roots = components(near)
 
@@ -181,9 +208,8 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 500):
                 yield pd.DataFrame({"token": np.concatenate([shingles(t) for t in batch["text"].iloc[at : at + 500]]).view(np.int64)})
 
-    part = max(1, sets.count() // ASKED)
-    counted = texts.filter(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).mapInPandas(own, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    listed = counted.filter("c >= 5").orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()["token"]
+    counted = texts.filter(F.pmod(F.xxhash64("id"), F.lit(ASKED)) == 0).mapInPandas(own, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    listed = counted.filter("c >= 2").orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()["token"]
     frequent = np.sort(listed.to_numpy(np.int64).view(np.uint64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,12 +225,12 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     placed = lambda df, found: df.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     met = written(meetings(placed(texts, roots).mapInPandas(run, "token long, id long, n int, pos int, root long")), "meetings")
     first = written(met.filter("token is null").select("a", "b").distinct(), "pairs")
-    found = near.unionByName(linked(first, texts))
+    found = near.unionByName(linked(first, sets, texts))
     members = met.filter("token is not null").select("token", F.col("a").alias("id"), "n", "pos")
     roots = components(found)
     if members.limit(1).count():
         second = written(across(placed(members, roots)).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-        roots = components(found.unionByName(linked(second, texts)))
+        roots = components(found.unionByName(linked(second, sets, texts)))
         discard(second)
     discard(met)
     discard(first)
@@ -221,19 +247,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes = [shingle_hashes(t, SHINGLE_WORDS) for t in batch["text"]]
-            own = np.fromiter((xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED) for h in hashes), np.uint64, len(hashes)).view(np.int64)
+            sets = list(map(np.unique, hashes))
+            own = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
             fp = np.fromiter(map(majority, hashes), np.uint64, len(hashes)).view(np.int64)
-            yield pd.DataFrame({"kept_id": batch["kept_id"], "kept_null": batch["kept_null"], "kept_hash": batch["kept_hash"], "kept_set": own, "fp": fp})
+            yield pd.DataFrame({"kept_id": batch["kept_id"], "kept_null": batch["kept_null"], "kept_hash": batch["kept_hash"], "kept_set": own, "fp": fp, "n": list(map(len, sets)), "bits": list(map(sketch, sets))})
 
     keys = ["kept_null", "kept_id", "kept_hash"]
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col("doc_id").isNull().alias("kept_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("kept_id"), F.xxhash64(text).alias("kept_hash"))
     texts = rows.select(*keys, F.col("row.text").cast("string").alias("text"))
-    marked = texts.mapInPandas(run, "kept_id long, kept_null boolean, kept_hash long, kept_set long, fp long")
+    marked = texts.mapInPandas(run, "kept_id long, kept_null boolean, kept_hash long, kept_set long, fp long, n int, bits binary")
     first = F.min(F.struct(*keys)).alias("k")
-    firsts = written(marked.groupBy("kept_set").agg(first, F.min("fp").alias("fp")).select("kept_set", "fp", "k.*"), "firsts")
+    firsts = written(marked.groupBy("kept_set").agg(first, *(F.min(c).alias(c) for c in ("fp", "n", "bits"))).select("kept_set", "fp", "n", "bits", "k.*"), "firsts")
     unique = written(rows.join(firsts, keys).dropDuplicates(keys), "unique")
-    sets = firsts.select(F.col("kept_set").alias("id"), "fp")
+    sets = firsts.select(F.col("kept_set").alias("id"), "fp", "n", "bits")
     roots = similar_sets(sets, unique.select(F.col("kept_set").alias("id"), F.col("row.text").cast("string").alias("text")))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # a root is no node of its own
     placed = firsts.join(roots.withColumnRenamed("node", "kept_set"), "kept_set")

@@ -70,6 +70,18 @@ def test_odd_rows(docs):
     assert near_copies.one_of_each(docs([])).count() == 0
 
 
+def test_sketches_lose_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 300, 3000):
+        for _ in range(20):
+            x = rng.integers(0, 2**63, n).astype(np.uint64)
+            gone = rng.integers(0, max(1, n // 5) + 1)
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 2**63, rng.integers(0, max(1, n // 9) + 1)).astype(np.uint64)]))
+            x = np.unique(x)
+            apart = sum((a ^ b).bit_count() for a, b in zip(near_copies.sketch(x), near_copies.sketch(y), strict=True))
+            assert not near_copies.similar(x, y) or 9 * apart <= len(x) + len(y)
+
+
 def test_similar_is_exact():
     at = lambda n: np.arange(n, dtype=np.uint64)
     assert near_copies.similar(at(8), at(10)) and not near_copies.similar(at(79), at(99))
