@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, written
+from .shared import bucketed, discard, written
 from .simhash import SEED, components, links, majority, shingle_hashes
 
 SHINGLE_WORDS = 5
@@ -244,22 +244,23 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     one meanwhile, so no name of theirs can clash. An empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashes = [shingle_hashes(t, SHINGLE_WORDS) for t in batch["text"]]
+    @F.pandas_udf("kept_set long, fp long, n int, bits binary")
+    def mark(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            hashes = [shingle_hashes(t, SHINGLE_WORDS) for t in batch]
             sets = list(map(np.unique, hashes))
             own = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
             fp = np.fromiter(map(majority, hashes), np.uint64, len(hashes)).view(np.int64)
-            yield pd.DataFrame({"kept_id": batch["kept_id"], "kept_null": batch["kept_null"], "kept_hash": batch["kept_hash"], "kept_set": own, "fp": fp, "n": list(map(len, sets)), "bits": list(map(sketch, sets))})
+            yield pd.DataFrame({"kept_set": own, "fp": fp, "n": list(map(len, sets)), "bits": list(map(sketch, sets))})
 
     keys = ["kept_null", "kept_id", "kept_hash"]
-    text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col("doc_id").isNull().alias("kept_null"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("kept_id"), F.xxhash64(text).alias("kept_hash"))
-    texts = rows.select(*keys, F.col("row.text").cast("string").alias("text"))
-    marked = texts.mapInPandas(run, "kept_id long, kept_null boolean, kept_hash long, kept_set long, fp long, n int, bits binary")
+    text = F.col("row.text").cast("string")
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
+    named = rows.select("row", F.struct(F.col("row.doc_id").isNull().alias("kept_null"), F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-1)).alias("kept_id"), F.xxhash64(text).alias("kept_hash")).alias("k"), mark(text).alias("m"))
     first = F.min(F.struct(*keys)).alias("k")
-    firsts = written(marked.groupBy("kept_set").agg(first, *(F.min(c).alias(c) for c in ("fp", "n", "bits"))).select("kept_set", "fp", "n", "bits", "k.*"), "firsts")
-    unique = written(rows.join(firsts, keys).dropDuplicates(keys), "unique")
+    # rows move once, by their sets, of which each task sends one row; what joins them later comes to their buckets
+    unique = bucketed(named.groupBy("m.kept_set").agg(F.min("k").alias("k"), F.min_by("row", "k").alias("row"), *(F.min(f"m.{c}").alias(c) for c in ("fp", "n", "bits"))), "unique", "kept_set")
+    firsts = written(unique.select("kept_set", "fp", "n", "bits", "k.*"), "firsts")
     sets = firsts.select(F.col("kept_set").alias("id"), "fp", "n", "bits")
     roots = similar_sets(sets, unique.select(F.col("kept_set").alias("id"), F.col("row.text").cast("string").alias("text")))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # a root is no node of its own
