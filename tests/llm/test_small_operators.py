@@ -5,6 +5,8 @@ import io
 import random
 import struct
 import zlib
+from collections import Counter
+from itertools import zip_longest
 
 import numpy as np
 import public_tokenizers
@@ -180,6 +182,52 @@ def test_merkle_rows(docs):
         assert row.n_chars == len(text) and row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert row.fingerprint == merkle.fingerprint(text) and row.edited_fingerprint == merkle.fingerprint(edited)
         assert row.near_edited == merkle.likeness(row.fingerprint, row.edited_fingerprint) and row.near_next == merkle.likeness(row.fingerprint, merkle.fingerprint(other))
+        differ = [n for n, (x, y) in enumerate(zip_longest(text.split("\n"), edited.split("\n"))) if x != y]
+        assert row.edited_paragraph == (differ[0] if differ else None)
+        assert abs(row.near_edited - leaf_likeness(text, edited)) < 1e-12 and abs(row.near_next - leaf_likeness(text, other)) < 1e-12
+
+
+def leaf_likeness(a, b):
+    """From the texts alone: phrases in common, without any tree."""
+    if a == b:
+        return 1.0
+    x, y = (Counter(p for line in t.split("\n") for p in merkle.phrases(line)) for t in (a, b))
+    return 2 * (x & y).total() / (x.total() + y.total()) if x and y else 0.0
+
+
+def test_merkle_nodes_by_hand():
+    """Each node is the hash of its children's, and a fingerprint holds every branch's."""
+    h = lambda mark, *parts: hashlib.blake2b(b"".join(parts), digest_size=16, person=mark).digest()
+    first, empty, last = h(b"paragraph", h(b"leaf", b"One. "), h(b"leaf", b"Two.")), h(b"paragraph"), h(b"paragraph", h(b"leaf", b"End"))
+    assert first[0] % merkle.SECTION_EVERY  # or the section would end there
+    sections = [h(b"section", first, empty), h(b"section", last)]
+    root, found = merkle.tree("One. Two.\n\nEnd")
+    assert root == h(b"root", *sections).hex() and [s for s, _ in found] == [s.hex()[:16] for s in sections]
+    assert [[p for p, _ in ps] for _, ps in found] == [[first.hex()[:16], empty.hex()[:16]], [last.hex()[:16]]]
+    assert merkle.read_form(merkle.fingerprint("One. Two.\n\nEnd")) == (root, found)
+
+
+def test_merkle_fuzz():
+    """Random edits: the descent gives what comparing lines and phrases gives."""
+    rng = random.Random(9)
+    words = ["alpha", "beta.", "gamma!", "", "delta", "é"]
+    for _ in range(300):
+        lines = [" ".join(rng.choices(words, k=rng.randrange(5))) for _ in range(rng.randrange(1, 25))]
+        other = list(lines)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randrange(2)] = [" ".join(rng.choices(words, k=3))]
+        a, b = "\n".join(lines), "\n".join(other)
+        x, y = merkle.tree(a), merkle.tree(b)
+        assert merkle.read_form(merkle.written_form(x)) == x and (x[0] == y[0]) == (a == b)
+        assert abs(merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) - leaf_likeness(a, b)) < 1e-12
+        differ = [n for n, (p, q) in enumerate(zip_longest(lines, other)) if p != q]
+        assert merkle._first_edit(x, y) == (differ[0] if differ else None)
+        rebuilt, done = [], 0
+        for _, (f, g), (p, q) in merkle.edits(merkle.fingerprint(a), merkle.fingerprint(b)):
+            rebuilt += lines[done:f] + other[p:q]
+            done = g
+        assert rebuilt + lines[done:] == other
 
 
 def test_merkle_edges(docs):
