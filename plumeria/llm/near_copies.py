@@ -33,6 +33,8 @@ SKETCH_BITS = 512
 LARGE, HUBS = 64, 3
 #: Texts of one end that are compared in a cell, about.
 TEXTS_AT_ONCE = 1_000
+#: Pairs of a large group whose sketches are compared at once, about (64 MB for each side).
+PAIRS_AT_ONCE = 1_000_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -55,6 +57,16 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _words(bits) -> np.ndarray:
+    """Sketches as rows of words."""
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), SKETCH_BITS // 64)
+
+
+def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether sets of these sketches, a row each, and of these sizes together can be similar."""
+    return (OVER + UNDER) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (UNDER - OVER) * n
+
+
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose ``sets`` (id, n, bits) can be similar; none that is similar is lost.
 
@@ -64,9 +76,7 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in ("bits_a", "bits_b"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield batch.loc[(OVER + UNDER) * apart <= batch["n"].to_numpy(), ["a", "b"]]
+            yield batch.loc[_close(_words(batch["bits_a"]), _words(batch["bits_b"]), batch["n"].to_numpy(np.int64)), ["a", "b"]]
 
     end = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "bits_a", "bits_b")
@@ -144,22 +154,30 @@ def meetings(rows: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame) -> DataFrame:
-    """(a, b) of the pairs of ``members`` (token, id, n, pos, root) that share a token, have different roots and can be similar."""
+    """(a, b) of the pairs of ``members`` (token, id, n, pos, root, bits) that share a token, have different roots and can be similar.
+
+    Texts that have a common passage but little else meet here in large groups, so their sketches are compared
+    before a pair becomes a row. Some ``PAIRS_AT_ONCE`` are looked at together, whatever the size of a group.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, sets, n, pos, root), starts, ends in _groups(batches, ["token", "id", "n", "pos", "root"]):
+        for (_, sets, n, pos, root, bits), starts, ends in _groups(batches, ["token", "id", "n", "pos", "root", "bits"]):
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 kinds, of, sizes = np.unique(root[s:e], return_inverse=True, return_counts=True)
                 if len(kinds) == 1:
                     continue
                 joined = of == sizes.argmax()  # pairs within the largest are linked already
                 order = np.concatenate([np.flatnonzero(~joined), np.flatnonzero(joined)]) + s
-                rest = len(order) - int(joined.sum())
-                for at in range(0, rest, 512):
-                    i, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + 512, rest)), np.arange(at, len(order)), indexing="ij"))
+                words = _words(bits[s:e])
+                rest, step = len(order) - int(joined.sum()), max(1, PAIRS_AT_ONCE // len(order))
+                for at in range(0, rest, step):
+                    i, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + step, rest)), np.arange(at, len(order)), indexing="ij"))
                     i, j = order[i[i < j]], order[j[i < j]]
                     fits = (root[i] != root[j]) & _may(n, pos, i, j)
-                    yield _pairs(sets, i[fits], j[fits])
+                    i, j = i[fits], j[fits]
+                    close = _close(words[i - s], words[j - s], n[i].astype(np.int64) + n[j])
+                    if close.any():
+                        yield _pairs(sets, i[close], j[close])
 
     return members.repartition("token").sortWithinPartitions("token", "id").mapInPandas(run, "a long, b long")
 
@@ -229,7 +247,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     members = met.filter("token is not null").select("token", F.col("a").alias("id"), "n", "pos")
     roots = components(found)
     if members.limit(1).count():
-        second = written(across(placed(members, roots)).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+        second = written(across(placed(members, roots).join(sets.select("id", "bits"), "id")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
         roots = components(found.unionByName(linked(second, sets, texts)))
         discard(second)
     discard(met)
