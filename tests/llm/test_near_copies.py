@@ -85,3 +85,17 @@ def test_sketches_lose_no_similar_pair():
 def test_similar_is_exact():
     at = lambda n: np.arange(n, dtype=np.uint64)
     assert near_copies.similar(at(8), at(10)) and not near_copies.similar(at(79), at(99))
+
+
+def test_large_groups_by_brute_force(spark):
+    """Of a common passage's texts, exactly the pairs across roots that can be similar, whatever is compared at once."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(40, 60), replace=False), rng.integers(0, 2**63, 3, dtype=np.uint64)])) for _ in range(80)]
+    rows = [(1, k, len(s), 0, k % 7, bytearray(near_copies.sketch(s))) for k, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "token long, id long, n int, pos int, root long, bits binary")
+    got = {(r.a, r.b) for r in near_copies.across(members).collect()}
+    alike = {(a, b) for a in range(80) for b in range(a) if a % 7 != b % 7 and near_copies.similar(sets[a], sets[b])}
+    apart = {(a, b): sum((x ^ y).bit_count() for x, y in zip(near_copies.sketch(sets[a]), near_copies.sketch(sets[b]), strict=True)) for a in range(80) for b in range(a) if a % 7 != b % 7}
+    can = {(a, b) for (a, b), d in apart.items() if 9 * d <= len(sets[a]) + len(sets[b]) and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))}
+    assert got == can and alike <= got and alike and len(got) < len(apart)
