@@ -86,7 +86,13 @@ def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, labels(spark, sf_dir))).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_bpe_automaton, op4_token_files, op5_simhash, op6_toxicity, op7_main_text, op8_url_rules, op9_merkle, op10_mil_quality)}
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .external_shuffle import shard_digests, sharded
+
+    return shard_digests(sharded(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_bpe_automaton, op4_token_files, op5_simhash, op6_toxicity, op7_main_text, op8_url_rules, op9_merkle, op10_mil_quality, op11_external_shuffle)}
 
 
 def _oracles() -> dict[str, str]:
