@@ -92,7 +92,14 @@ def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digests(sharded(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_bpe_automaton, op4_token_files, op5_simhash, op6_toxicity, op7_main_text, op8_url_rules, op9_merkle, op10_mil_quality, op11_external_shuffle)}
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_repair import damaged, edits, repair_digests
+
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_digests(edits(damaged(conversations)), conversations)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_bpe_automaton, op4_token_files, op5_simhash, op6_toxicity, op7_main_text, op8_url_rules, op9_merkle, op10_mil_quality, op11_external_shuffle, op12_turn_repair)}
 
 
 def _oracles() -> dict[str, str]:
