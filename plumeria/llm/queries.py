@@ -99,13 +99,19 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(edits(damaged(conversations)), conversations)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_bpe_automaton, op4_token_files, op5_simhash, op6_toxicity, op7_main_text, op8_url_rules, op9_merkle, op10_mil_quality, op11_external_shuffle, op12_turn_repair)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked_search
+
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_bpe_automaton, op4_token_files, op5_simhash, op6_toxicity, op7_main_text, op8_url_rules, op9_merkle, op10_mil_quality, op11_external_shuffle, op12_turn_repair, op13_ranked_search)}
 
 
 def _oracles() -> dict[str, str]:
-    from . import quality_rules
+    from . import quality_rules, ranked_search
 
-    return {"op2_quality_rules": quality_rules.oracle_sql()}
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "op13_ranked_search": ranked_search.oracle_sql()}
 
 
 ORACLE_SQL = _oracles()

@@ -109,29 +109,39 @@ def conversation_key(conv_id: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), conv_id.cast("string")), F.lit(""))
 
 
-def _segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole runs of rows with one (part, conversation), which come sorted; each row is copied once."""
-    held: list[pd.DataFrame] = []
+COLUMNS = ("part", "conversation", "place", "times", "fault", "initial")
+
+
+def _segments(frames: Iterator[pd.DataFrame]) -> Iterator[dict[str, np.ndarray]]:
+    """COLUMNS of whole runs of rows with one (part, conversation), which come sorted; each row is copied once."""
+    held: list[list[np.ndarray]] = []
+    joined = lambda: dict(zip(COLUMNS, held[0] if len(held) == 1 else map(np.concatenate, zip(*held, strict=True)), strict=True))
     for frame in frames:
         if not len(frame):
             continue
-        part, conversation = frame["part"].to_numpy(), frame["conversation"].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (conversation[1:] != conversation[:-1])]))
-        if held and (held[0]["part"].iat[0], held[0]["conversation"].iat[0]) != (part[0], conversation[0]):
-            yield pd.concat(held)
-            held = []
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)], strict=True):
-            if s and held:
-                yield pd.concat(held) if len(held) > 1 else held[0]
+        columns = [frame[c].to_numpy() for c in COLUMNS]
+        part, conversation = columns[:2]
+        starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (conversation[1:] != conversation[:-1])])).tolist()
+        for s, e in zip(starts, [*starts[1:], len(frame)], strict=True):
+            if held and (s or (held[0][0][0], held[0][1][0]) != (part[0], conversation[0])):
+                yield joined()
                 held = []
-            held.append(frame.iloc[s:e])
+            held.append([c[s:e] for c in columns])
     if held:
-        yield pd.concat(held)
+        yield joined()
+
+
+GONE = frozenset(("blank", "duplicate"))
 
 
-def _turns(segment: pd.DataFrame) -> list[tuple[int, int, bool]]:
-    faults = segment["fault"].to_numpy()
-    return list(zip(segment["initial"].tolist(), (faults == "truncated").astype(int).tolist(), np.isin(faults, ("blank", "duplicate")).tolist(), strict=True))
+def _turns(segment: dict[str, np.ndarray]) -> list[tuple[int, int, bool]]:
+    return [(i, int(f == "truncated"), f in GONE) for i, f in zip(segment["initial"].tolist(), segment["fault"].tolist(), strict=True)]
+
+
+def _dealt(slim: DataFrame) -> DataFrame:
+    """Each part's rows in one task, in order. The number of tasks is fixed, so that rows of few bytes aren't put together in a few tasks."""
+    n = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slim.repartition(n, "part").sortWithinPartitions("part", "place")
 
 
 def _crossing(slim: DataFrame) -> dict[tuple[int, str], tuple]:
@@ -144,13 +154,13 @@ def _crossing(slim: DataFrame) -> dict[tuple[int, str], tuple]:
     if not listed.limit(1).count():
         discard(listed)
         return {}
-    dealt = listed.repartition("part").sortWithinPartitions("part", "place")
+    dealt = _dealt(listed)
 
     def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for segment in _segments(frames):
             turns = _turns(segment)
             costs = [choices(turns, tuple(0 if r == out else FAR for r in range(4)))[1] for out in range(4)]
-            yield pd.DataFrame({"part": [segment["part"].iat[0]], "conversation": [segment["conversation"].iat[0]], "costs": [np.array(costs).ravel()], "final": [segment["initial"].iat[-1]]})
+            yield pd.DataFrame({"part": [segment["part"][0]], "conversation": [segment["conversation"][0]], "costs": [np.array(costs).ravel()], "final": [segment["initial"][-1]]})
 
     parts: dict[str, list] = {}
     for r in dealt.mapInPandas(tables, "part long, conversation string, costs array<long>, final int").collect():
@@ -165,7 +175,7 @@ def _crossing(slim: DataFrame) -> dict[tuple[int, str], tuple]:
 
     def leaving(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for segment in _segments(frames):
-            at = segment["part"].iat[0], segment["conversation"].iat[0]
+            at = segment["part"][0], segment["conversation"][0]
             picked = choices(_turns(segment), ends[at])[0]
             outs = []
             for last in range(4):
@@ -215,28 +225,27 @@ def edits(turns: DataFrame) -> DataFrame:
     slim = written(slim.join(repeated, same, "left").select("conversation", "part", "place", "times", fault.alias("fault"), "initial"), "faults")
     crossing = _crossing(slim)
 
+    names = ["part", "place", "fault", "edit", "before", "role_to", "after", "illegal"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        rows = []
         for segment in _segments(frames):
-            end, last, before, ends = crossing.get((segment["part"].iat[0], segment["conversation"].iat[0]), (END, START, -1, True))
-            taken, final = [], last
-            for option, final in walk(choices(_turns(segment), end)[0], last):
-                taken.append(option)
-            initials = segment["initial"].tolist()
-            wrong = [int(a >= 0 and (a, b) not in LEGAL) for a, b in zip([before, *initials], initials, strict=False)]
-            after = [0] * (len(taken) - 1) + [AFTER[final] if ends else 0]
-            held.append(pd.DataFrame({
-                "part": segment["part"].to_numpy(), "place": segment["place"].to_numpy(), "fault": segment["fault"].to_numpy(), "edit": [o[3] if o else "D" for o in taken], "before": [o[2] if o else 0 for o in taken],
-                "role_to": [o[1] if o else 0 for o in taken], "after": after, "illegal": np.array(wrong) + segment["times"].to_numpy() - 1,
-            }))
-            size += len(taken)
-            if size >= 10_000:
-                yield pd.concat(held)
-                held, size = [], 0
-        if held:
-            yield pd.concat(held)
-
-    done = slim.repartition("part").sortWithinPartitions("part", "place").mapInPandas(run, "part long, place long, fault string, edit string, before int, role_to int, after int, illegal long")
+            part, conversation = segment["part"][0], segment["conversation"][0]
+            end, last, before, ends = crossing.get((part, conversation), (END, START, -1, True))
+            turns = _turns(segment)
+            for place, fault, times, (initial, _, _), (option, last) in zip(segment["place"].tolist(), segment["fault"].tolist(), segment["times"].tolist(), turns, walk(choices(turns, end)[0], last), strict=True):
+                illegal = times - 1 + (before >= 0 and (before, initial) not in LEGAL)
+                rows.append((part, place, fault, option[3] if option else "D", option[2] if option else 0, option[1] if option else 0, 0, illegal))
+                before = initial
+            if ends:
+                rows[-1] = (*rows[-1][:6], AFTER[last], rows[-1][7])
+            if len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    done = _dealt(slim).mapInPandas(run, "part long, place long, fault string, edit string, before int, role_to int, after int, illegal long")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     named = F.when(F.col("role_to") == USER, ROLES[USER]).otherwise(ROLES[ASSISTANT])
     other = F.when(F.col("role_to") == USER, ROLES[ASSISTANT]).otherwise(ROLES[USER])
