@@ -180,9 +180,10 @@ def clustered_index(found: DataFrame, vocabulary: int, documents: int, length: i
     vocabulary are left out, as nothing finds them.
     """
     held = found.filter("octet_length(terms) > 0")
-    drawn = held.orderBy(F.xxhash64("doc_id", "n"), "doc_id", "terms").limit(sample).select("terms").toPandas()["terms"]
+    share = min(1.0, 0.95 * sample / max(1, documents)) * (1 << 31)  # no task sends more than its share of the sample
+    drawn = held.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 31)) < share).select("terms").limit(sample).toPandas()["terms"]
     flat, sizes = _u4(drawn)
-    tree = Tree(np.concatenate([[0], np.cumsum(sizes)]), flat, vocabulary, levels)
+    tree = Tree(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat, vocabulary, levels)
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
