@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumeria.operators import clusters, dedup, enrich, filters, joins, quality, quotes, stats
+from plumeria.operators import clusters, dedup, enrich, filters, joins, quality, quotes, stats, ward
 from plumeria.operators.filters import QueryOptions
 from plumeria.plans.batch import batch, resume
 from plumeria.plans.cache import ResultCache
@@ -73,8 +73,9 @@ def test_save_keeps_what_it_reads(spark, tmp_path):
 def test_resumable_analysis(spark, tmp_path):
     df = spark.createDataFrame([(f"lookup_{k:06d}", "I support it", None, None, None, None) for k in range(20)], "lookup_id string, truncated_text string, stance string, key_quote string, rationale string, themes string")
     path = str(tmp_path / "analysis")
-    first = enrich.analyse_resumable(df, enrich.KeywordClassifier(), path, rounds=3).collect()
-    again = enrich.analyse_resumable(df, lambda text: 1 / 0, path, rounds=3).collect()
+    df = df.withColumn("truncated_text", F.concat_ws(" ", "truncated_text", "lookup_id"))
+    first = enrich.analyse_resumable(df, enrich.KeywordClassifier(), path, every=7).collect()
+    again = enrich.analyse_resumable(df, lambda text: 1 / 0, path, every=7).collect()
     assert len(first) == 20 and {r.stance for r in first} == {"For"} and sorted(first) == sorted(again)
     slow = enrich.classify_text(lambda t: time.sleep(2), "x", enrich.EnrichConfig(retries=0, timeout=0.1))
     assert slow["rationale"].startswith("Error:")
@@ -204,12 +205,41 @@ def test_repeated_vectors_keep_the_exact_path(spark):
     assert agreement(got, clusters.cut(clusters.ward_linkage(x), len(x), 4)) == 1
 
 
-def test_cells_agree_with_exact_ward(spark):
-    rng = np.random.default_rng(6)
-    x = np.concatenate([rng.normal(c, 1, size=(80, 2)) for c in ((0, 0), (12, 0), (0, 12))])
+def grouped(n, d, seed):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n, d)) * 0.5 + rng.normal(size=(7, d))[rng.integers(0, 7, n)] * 2
+
+
+def test_rounds_are_exact_ward(spark):
+    """2,400 vectors, of which one task ends at most 600, in blocks of at most 400: the labels of exact Ward."""
+    x = grouped(2400, 8, 3)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
-    exact, cells = ([r.cluster_id for r in clusters.ward_clusters(df, most=m, k=3).orderBy("id").collect()] for m in (240, 60))
-    assert agreement(exact, cells) > 0.95
+    got = [r.cluster_id for r in clusters.ward_clusters(df, most=600, block=400, k=5).orderBy("id").collect()]
+    assert agreement(got, clusters.cut(clusters.ward_linkage(x), len(x), 5)) == 1
+
+
+def test_rounds_search_like_one_task(spark):
+    """All levels' codes agree, copies of vectors among them, whether groups are merged in rounds or by one task."""
+    x = grouped(260, 4, 8)
+    rows = [(i, x[i % 260].tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    one, rounds = ([r.cluster_id for r in clusters.ward_clusters(df, most=m, block=40).orderBy("id").collect()] for m in (260, 90))
+    assert one == rounds and len(set(one)) > 8 and max(map(len, one)) == 3
+
+
+def test_nearest_across_blocks(spark):
+    """Blocks and bounds find what comparing all pairs finds, ties too, and groups stay apart."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(150, 3)), rng.integers(0, 4, (150, 3)) + 0.0])
+    x = np.unique(x, axis=0)
+    g, w = rng.integers(0, 2, len(x)), rng.integers(1, 5, len(x)) + 0.0
+    df = spark.createDataFrame([(str(a), i, float(b), v.tolist()) for i, (a, b, v) in enumerate(zip(g, w, x, strict=True))], "g string, id long, w double, v array<double>")
+    for block in (7, 1000):
+        got = {r.id: (r.who, r.price) for r in ward.nearest(df, block).collect()}
+        for i in range(len(x)):
+            d = ((x - x[i]) ** 2).sum(axis=1) * w * w[i] / (w + w[i])
+            d[(g != g[i]) | (np.arange(len(x)) == i)] = np.inf
+            assert np.isclose(got[i][1], d.min()) and np.isclose(d[got[i][0]], d.min())
 
 
 def test_plane_keeps_distances(spark):
@@ -318,13 +348,8 @@ def test_cache():
 
 
 def test_stream(spark, tmp_path):
-    from plumeria.streaming.series import fold_stream, stance_windows
+    from plumeria.streaming.series import stance_windows
 
-    rows = spark.createDataFrame([("C-1", 1, "one", None), ("C-2", 2, "ONE", None)], "id string, seq long, comment string, attachment_texts array<string>")
-    rows.write.parquet(str(tmp_path / "in"))
-    q = fold_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out" / "lookup_0")).first().comment_count == 2
     e = spark.createDataFrame([("2024-01-01 10:00:00", "For"), ("2024-01-05 10:00:00", None)], "at string, stance string").withColumn("at", F.to_timestamp("at"))
     e.write.parquet(str(tmp_path / "ev"))
     w = stance_windows(spark.readStream.schema(e.schema).parquet(str(tmp_path / "ev")), "at").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
