@@ -11,12 +11,15 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import trim_ws
 from ..functions.values import usable_text
+from ..ledger import Ledger
 from ..schemas import STANCES
+from ..shared import discard, written
 from .clusters import batches
 from .quality import ConfigurationError
 
@@ -110,24 +113,39 @@ def analyse(lookup: DataFrame, classifier: Classifier, config: EnrichConfig = En
     return lookup.join(found, "lookup_id", "left").withColumns({n: F.coalesce(n, f"_{n}") for n in names}).drop(*(f"_{n}" for n in names))
 
 
-def analyse_resumable(lookup: DataFrame, classifier: Classifier, path: str, config: EnrichConfig = EnrichConfig(), rounds: int = 1) -> DataFrame:
-    """``analyse`` in ``rounds``, each of which leaves its results below ``path``: a later run takes up what is there.
+NAMES = ("stance", "key_quote", "rationale", "themes")
+ANALYSES = T.StructType([T.StructField(n, T.StringType()) for n in ("text_hash", "lookup_id", *NAMES)])
 
-    Rows are dealt into rounds by their id's hash. A round replaces its own folder, so a repeated one
-    leaves no row twice.
+
+def analysis_ledger(spark: SparkSession, path: str) -> Ledger:
+    """The ledger of analyses below ``path``, a row for each text analysed: what a text was found to say holds whatever number it has later."""
+    return Ledger(spark, path, ANALYSES, "text_hash")
+
+
+def text_hash(text: str = "truncated_text") -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def analyse_resumable(lookup: DataFrame, classifier: Classifier, path: str, config: EnrichConfig = EnrichConfig(), every: int = 50_000, concurrency: int | None = None, again: bool = False) -> DataFrame:
+    """``lookup`` with the analyses of the ledger below ``path``, to which those it lacks are added first.
+
+    Rows without a stance whose text no commit has are waiting, whenever they came; so a table that grows is
+    taken up where the last run ended, and a run that was killed repeats no committed row. Waiting rows are
+    dealt by their text's hash into parts of about ``every`` rows, and each is committed once written. With
+    ``again``, rows whose last analysis failed are waiting too.
     """
-    names, spark = ("stance", "key_quote", "rationale", "themes"), lookup.sparkSession
-    found = None
+    ledger = analysis_ledger(lookup.sparkSession, path)
+    done = ledger.latest().filter(~F.startswith("rationale", F.lit("Error:"))) if again else ledger.read()
+    waiting = lookup.filter("stance is null").withColumn("text_hash", text_hash()).join(done.select("text_hash"), "text_hash", "left_anti")
+    waiting = written(waiting.select("text_hash", "lookup_id", "truncated_text", *(F.lit(None).cast("string").alias(n) for n in NAMES)).dropDuplicates(["text_hash"]), "waiting")
+    rounds = -(-waiting.count() // every)
     for k in range(rounds):
-        own = f"{path.rstrip('/')}/round={k}"
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{own}/_SUCCESS")
-        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-            waiting = lookup.filter(F.col("stance").isNull() & (F.pmod(F.xxhash64("lookup_id"), F.lit(rounds)) == k))
-            analyse(waiting, classifier, config).select("lookup_id", *names).write.mode("overwrite").parquet(own)
-        part = spark.read.parquet(own)
-        found = part if found is None else found.unionByName(part)
-    found = found.select("lookup_id", *(F.col(n).alias(f"_{n}") for n in names))
-    return lookup.join(found, "lookup_id", "left").withColumns({n: F.coalesce(n, f"_{n}") for n in names}).drop(*(f"_{n}" for n in names))
+        part = waiting.filter(F.pmod(F.xxhash64("text_hash"), F.lit(rounds)) == k)
+        ledger.append(analyse(part, classifier, config, concurrency))
+    discard(waiting)
+    found = ledger.latest().select("text_hash", *(F.col(n).alias(f"_{n}") for n in NAMES))
+    out = lookup.withColumn("text_hash", text_hash()).join(found, "text_hash", "left").drop("text_hash")
+    return out.withColumns({n: F.coalesce(n, f"_{n}") for n in NAMES}).drop(*(f"_{n}" for n in NAMES))
 
 
 def extract(files: DataFrame, extractor: Extractor, most_bytes: int = 10_000_000) -> DataFrame:

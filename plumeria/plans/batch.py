@@ -15,9 +15,9 @@ def texts_of(raw: DataFrame) -> DataFrame:
 
 
 def finish(raw: DataFrame, lookup: DataFrame, members: DataFrame, path: str, classifier: enrich.Classifier | None, config: enrich.EnrichConfig) -> dict[str, DataFrame]:
-    """Analysis, clusters, coordinates, merge and checks, each a table below ``path``."""
+    """Analysis, clusters, coordinates, merge and checks, each a table below ``path``; analyses are kept in a ledger there, so a run that is begun again takes them up."""
     if classifier:
-        lookup = save(enrich.analyse(lookup, classifier, config), f"{path}/analysed")
+        lookup = save(enrich.analyse_resumable(lookup, classifier, f"{path}/analyses", config), f"{path}/analysed")
     vectors = save(clusters.hashed_embeddings(lookup.select("lookup_id", "truncated_text"), "truncated_text").select(F.col("lookup_id").alias("id"), "embedding"), f"{path}/embeddings")
     placed = clusters.ward_clusters(vectors).join(clusters.plane(vectors), "id").withColumnRenamed("id", "lookup_id")
     lookup = save(joins.relabel(lookup, placed), f"{path}/lookup")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import clusters, dedup, enrich, filters, joins, quality, quotes, stats
+from ..operators import clusters, dedup, enrich, filters, joins, quality, quotes, schema_rules, stats
 from ..operators.filters import QueryOptions
-from ..schemas import STANCES, FieldSpec
+from ..schemas import LOOKUP_JSON_SCHEMA, STANCES, FieldSpec
+from ..shared import new_path
 from ..sources import readers, writers
+from ..streaming.fold import FoldedStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -625,6 +627,56 @@ def src_02_ids(spark, sf):
     return readers.csv_ids(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("Document ID"))).select(F.col("id").cast("long").alias("id"))
 
 
+LEDGER_SQL = "SELECT 1 AS run, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 2, count(*), min(doc_id), max(doc_id) FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 3, count(*), min(doc_id), max(doc_id) FROM documents"
+
+
+@query(LEDGER_SQL)
+def inc_03_ledger(spark, sf):
+    """What the first run, the second over a table that has grown, and both together have in the ledger."""
+    d = table(spark, sf, "documents").select(F.concat(F.lit("lookup_"), F.col("doc_id").cast("string")).alias("lookup_id"), F.concat_ws(" ", F.col("doc_id").cast("string"), "text").alias("truncated_text"), *(F.lit(None).cast("string").alias(n) for n in enrich.NAMES))
+    path, number = new_path(spark, "analyses"), F.substring("lookup_id", 8, 30).cast("long")
+    enrich.analyse_resumable(d.filter(number % 3 != 0), enrich.KeywordClassifier(), path)
+    before = enrich.analysis_ledger(spark, path).parts()
+    enrich.analyse_resumable(d, enrich.KeywordClassifier(), path)
+    run = F.when(F.col("part").isin(*before), 1).otherwise(2)
+    rows = enrich.analysis_ledger(spark, path).read().select(F.explode(F.array(run, F.lit(3))).alias("run"), number.alias("id"))
+    return rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query(f"SELECT lookup_id, n::INTEGER AS comment_count, first_id::VARCHAR AS first_id FROM ({LOOKUPS})")
+def str_01_fold(spark, sf):
+    """Documents as a stream, folded into a lookup table."""
+    path = f"{sf}/documents.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/documents.parque[t]")  # a pattern may be of one file
+    folded = FoldedStream(spark, new_path(spark, "folded"))
+    rows = stream.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), F.col("text").alias("comment"), F.lit(None).cast("array<string>").alias("attachment_texts"))
+    for running in folded.start(rows):
+        running.awaitTermination()
+    first = folded.entries.read().select(T.lookup_id(F.col("number")).alias("lookup_id"), "first_id")
+    return folded.lookup().join(first, "lookup_id").select("lookup_id", "comment_count", "first_id")
+
+
+def _rule(name: str, where: str) -> str:
+    return f"SELECT '{name}' AS rule, count(*) AS n FROM documents WHERE {where} HAVING count(*) > 0"
+
+
+@query(" UNION ALL ".join(_rule(*r) for r in (
+    ("text_source: enum", "source IS NOT NULL"), ("text_source: type", "source IS NULL"), ("comment_count: minimum", "n_chars % 3 = 0"), ("truncated_text_length: maximum", "n_chars > 1003"), ("comment_ids[]: pattern", "lang <> 'en'"),
+    ("stance: enum", "n_chars % 5 = 0"), ("full_text_length: type", "true"), ("themes: type", "true"), ("extra: additionalProperties", "n_chars % 2 = 0"), ("key_quote: required", "true"), ("truncated_text: type", "text IS NULL"),
+)))
+def val_01_schema(spark, sf):
+    """Documents as lookup rows that break rules of the file's schema, and how many break each."""
+    n = F.col("n_chars")
+    number = F.col("doc_id").cast("string")
+    rows = table(spark, sf, "documents").select(
+        number.alias("lookup_id"), F.col("text").alias("truncated_text"), F.col("source").alias("text_source"), F.lit("").alias("comment_text"), F.lit("").alias("attachment_text"),
+        F.array(F.concat(F.when(F.col("lang") == "en", "ABC").otherwise("abc"), F.lit("-2020-0001-"), number), F.lit("A-2020-0001-1")).alias("comment_ids"), (n % 3).alias("comment_count"), n.cast("string").alias("full_text_length"),
+        n.alias("truncated_text_length"), F.when(n % 5 == 0, "Perhaps").when(n % 5 == 1, "For").alias("stance"), F.lit(None).cast("string").alias("rationale"), F.struct("lang").alias("themes"),
+        F.lit("0").alias("cluster_id"), F.lit(0.5).alias("pca_x"), F.lit(None).cast("double").alias("pca_y"), F.when(n % 2 == 0, 1).alias("extra"),
+    )
+    return schema_rules.broken_rules(schema_rules.conform(rows, LOOKUP_JSON_SCHEMA))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Deduplicated stance counts of the comments that a search finds."""
     found, table_ = _with_lookup(spark, sf)

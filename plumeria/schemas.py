@@ -63,3 +63,31 @@ def _fields() -> tuple[FieldSpec, ...]:
 
 
 FIELDS = _fields()
+
+
+def _nullable(kind: str) -> dict:
+    return {"type": [kind, "null"]}
+
+
+def _row_schema(properties: dict[str, dict]) -> dict:
+    """An array of objects that have all of these fields and no other."""
+    return {"type": "array", "items": {"type": "object", "required": list(properties), "properties": properties, "additionalProperties": False}}
+
+
+_STANCE_RULE = {"type": ["string", "null"], "enum": [*STANCES, "", None]}
+_PLACES = {"cluster_id": _nullable("string"), "pca_x": _nullable("number"), "pca_y": _nullable("number")}
+# Fields, types and bounds of the exported files.
+LOOKUP_JSON_SCHEMA = _row_schema({
+    "lookup_id": {"type": "string"}, "truncated_text": {"type": "string"}, "text_source": {"type": "string", "enum": list(TEXT_SOURCES)}, "comment_text": {"type": "string"}, "attachment_text": {"type": "string"},
+    "comment_ids": {"type": "array", "items": {"type": "string", "pattern": COMMENT_ID}}, "comment_count": {"type": "integer", "minimum": 1}, "full_text_length": {"type": "integer", "minimum": 0},
+    "truncated_text_length": {"type": "integer", "minimum": 0, "maximum": MAX_TRUNCATED}, "stance": _STANCE_RULE, **{n: _nullable("string") for n in ("key_quote", "rationale", "themes")}, **_PLACES,
+})
+_DATE = {"type": "string", "format": "date-time"}
+DATA_JSON_SCHEMA = _row_schema({
+    "id": {"type": "string", "pattern": COMMENT_ID}, "title": {"type": "string"}, "comment_on": _nullable("string"), "posted_date": _DATE, "received_date": _DATE,
+    **{n: {"type": "string"} for n in ("submitter_name", "organization", "city", "state", "country", "comment", "original_comment", "document_type", "agency_id", "category")},
+    "attachment_count": {"type": "integer", "minimum": 0}, "has_attachments": {"type": "boolean"}, **{n: {"type": "string"} for n in ("attachment_urls", "attachment_titles", "attachment_local_paths")},
+    **{n: _nullable("string") for n in ("lookup_id", "truncated_text")}, "text_source": {"type": ["string", "null"], "enum": [*TEXT_SOURCES, None]}, **{n: _nullable("string") for n in ("comment_text", "attachment_text")},
+    "comment_count": {"type": ["integer", "null"], "minimum": 1}, "stance": _STANCE_RULE, **{n: _nullable("string") for n in ("key_quote", "rationale")}, "themes": {"type": ["string", "array", "null"], "items": {"type": "string"}},
+    "corrected": {"type": "boolean"}, **_PLACES,
+})

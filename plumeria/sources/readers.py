@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import attachments_of, trim_ws
+from ..ledger import Ledger
+from ..operators.dedup import numbered
 from ..schemas import LOOKUP, RAW_COMMENT
 
 # Extensions of attachments that can be extracted again.
@@ -13,20 +16,45 @@ RETRY_EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg", ".gif", ".bmp")
 MINIMAL_TEXT = 100
 
 
-def docket_csv(spark: SparkSession, path: str, plain: bool = False) -> DataFrame:
-    """All columns as text. ``plain`` takes quotes as characters, for files with broken quoting, and skips bad lines."""
+def docket_csv(spark: SparkSession, path: str, plain: bool | None = None) -> DataFrame:
+    """All columns as text. ``plain`` takes quotes as characters, for files with broken quoting, and skips bad lines; None finds out whether it is needed."""
+    if plain is None:
+        plain = broken_quoting(spark, path)
     reader = spark.read.option("header", True).option("multiLine", not plain).option("escape", '"')
     return (reader.option("quote", "").option("mode", "DROPMALFORMED") if plain else reader).csv(path)
 
 
+def broken_quoting(spark: SparkSession, path: str) -> bool:
+    """Whether a file's quotes don't pair, or a record of it has more fields than there are columns."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("n"))
+    if lines.groupBy("f").agg(F.sum("n").alias("n")).filter("n % 2 = 1").limit(1).count():
+        return True
+    columns = docket_csv(spark, path, False).columns
+    schema = ", ".join(f"c{k} string" for k in range(len(columns) + 1))  # a field more than there are columns
+    wide = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').csv(path)
+    return bool(wide.filter(F.col(f"c{len(columns)}").isNotNull()).limit(1).count())
+
+
+def in_file_order(csv: DataFrame, name: str = "row_number") -> DataFrame:
+    """``csv`` with 1-based row numbers in the order of files' names and of the rows in them, however the files are split; rows that are no file's are numbered as they come."""
+    try:
+        at = csv.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    except AnalysisException:  # rows of no file
+        at = csv.select("*", F.lit("").alias("_file"), F.lit(0).alias("_start"))
+    return numbered(at.withColumn("_row", F.monotonically_increasing_id()), ["_file", "_start", "_row"], name).drop("_file", "_start", "_row")
+
+
 def comments_from_csv(csv: DataFrame, rule_ids: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
     """Nested comments (id, attributes) of a docket CSV.
 
-    The rule document is left out by id. Nulls become ''. Without a ``Document ID`` column ids are
-    ``comment_`` and a number. ``limit`` takes the first rows by id.
+    The rule document is left out by id. Nulls become ''. Null ids become ``nan``, so they are one id from
+    there on. Without a ``Document ID`` column ids are ``comment_`` and the row's number in the files, from 0.
+    ``limit`` takes the first rows of the files.
     """
+    if limit is not None or "Document ID" not in csv.columns:
+        csv = in_file_order(csv, "_number")
     cell = lambda n: F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) if n in csv.columns else F.lit("")
-    key = F.coalesce(F.col("`Document ID`"), F.lit("nan")) if "Document ID" in csv.columns else F.concat(F.lit("comment_"), F.monotonically_increasing_id().cast("string"))
+    key = F.coalesce(F.col("`Document ID`"), F.lit("nan")) if "Document ID" in csv.columns else F.concat(F.lit("comment_"), (F.col("_number") - 1).cast("string"))
     attachments = attachments_of(cell("Attachment Files"))
     attributes = F.struct(
         cell("Title").alias("title"), cell("Comment on Document ID").alias("commentOn"), cell("Posted Date").alias("postedDate"), cell("Received Date").alias("receivedDate"),
@@ -34,8 +62,9 @@ def comments_from_csv(csv: DataFrame, rule_ids: tuple[str, ...] = (), limit: int
         cell("Country").alias("country"), cell("Comment").alias("comment"), cell("Document Type").alias("documentType"), cell("Agency ID").alias("agencyId"), cell("Category").alias("category"),
         F.size(attachments).alias("attachmentCount"), attachments.alias("attachments"), F.lit(None).cast(RAW_COMMENT["attributes"].dataType["attachment_texts"].dataType).alias("attachment_texts"),
     )
-    out = csv.select(key.alias("id"), attributes.alias("attributes")).filter(~F.col("id").isin(*rule_ids) if rule_ids else F.lit(True))
-    return out.orderBy("id").limit(limit) if limit else out
+    kept = csv.filter(~key.isin(*rule_ids) if rule_ids else F.lit(True))
+    kept = kept.orderBy("_number").limit(limit) if limit is not None else kept
+    return kept.select(key.alias("id"), attributes.alias("attributes"))
 
 
 def csv_ids(csv: DataFrame, limit: int | None = None) -> DataFrame:
@@ -111,3 +140,8 @@ def newest(spark: SparkSession, pattern: str) -> str | None:
     """The path last modified of those that match; only metadata is read."""
     row = spark.read.format("binaryFile").load(pattern).select(F.max_by("path", "modificationTime").alias("p")).first()
     return row.p if row else None
+
+
+def checkpoint(spark: SparkSession, path: str, schema, key: str = "lookup_id") -> DataFrame:
+    """The committed rows of a ledger, the last of each key; an empty table if nothing was committed."""
+    return Ledger(spark, path, schema, key).latest()

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-import re
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import preview, wrap
+from ..ledger import Ledger
 from ..operators.dedup import upsert
+from ..shared import discard, written
 
 
 def version_dir(base: str, prefix: str = "results", now: datetime | None = None) -> str:
     return f"{base.rstrip('/')}/{prefix}_{(now or datetime.now(UTC)):%Y%m%d_%H%M%S}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme and authority."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def save(df: DataFrame, path: str) -> DataFrame:
     """Write Parquet, replacing what is there, and read it back; a path that ``df`` reads from is refused."""
-    own = re.sub("^file:/*", "/", path.rstrip("/")) + "/"
-    if any(re.sub("^file:/*", "/", f).startswith(own) for f in df.inputFiles()):
+    own = qualified(df.sparkSession, path) + "/"
+    if any(qualified(df.sparkSession, f).startswith(own) for f in df.inputFiles()):
         raise ValueError(f"{path} is read by what would replace it")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -72,14 +78,14 @@ def sidecar_name(path: Column) -> Column:
     return F.concat(path, F.lit(".extracted.txt"))
 
 
-def checkpoint(batch: DataFrame, path: str, key: str = "lookup_id") -> None:
-    """Append processed rows that are not there yet; a repeated batch adds nothing."""
-    known = batch.sparkSession.read.schema(batch.schema).option("ignoreMissingFiles", True)
-    try:
-        batch = batch.join(known.parquet(path).select(key), key, "left_anti")
-    except AnalysisException:  # the first batch
-        pass
-    batch.write.mode("append").parquet(path)
+def checkpoint(batch: DataFrame, path: str, key: str = "lookup_id") -> Ledger:
+    """Commit the rows of ``batch`` that the ledger below ``path`` has not got; a repeated batch adds nothing."""
+    ledger = Ledger(batch.sparkSession, path, batch.schema, key)
+    fresh = written(ledger.pending(batch), "fresh")
+    if fresh.limit(1).count():
+        ledger.append(fresh)
+    discard(fresh)
+    return ledger
 
 
 def promote(spark: SparkSession, version: str, base: str) -> None:

@@ -1,15 +1,12 @@
-"""Streaming forms: stance counts by window, and folding new comments into a lookup table."""
+"""Stance counts of a stream by window."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedup import combined, entries, fold_members, lookup_rows
 from ..operators.stats import stance_counts
 from ..schemas import STANCES
-from ..sources.writers import save
 
 
 def stance_windows(stream: DataFrame, date: str, window: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -18,22 +15,3 @@ def stance_windows(stream: DataFrame, date: str, window: str = "1 day", late: st
     timed = stream.withColumn("_at", F.col(date).cast("timestamp")).filter("_at is not null").withWatermark("_at", late)
     counted = timed.groupBy(F.window("_at", window).alias("w")).agg(*stance_counts(stance))
     return counted.select(F.col("w.start").alias("start"), "for_count", "against_count", "neutral_count")
-
-
-def fold_stream(stream: DataFrame, base: str, checkpoint: str, truncate: int | None = 1000) -> StreamingQuery:
-    """Fold each batch of (id, seq, comment, attachment_texts) into ``base``/lookup_<batch> and members_<batch>.
-
-    A repeated batch reads the version before and makes the same one again.
-    """
-
-    def take(batch: DataFrame, number: int) -> None:
-        spark, texts = batch.sparkSession, combined(batch, truncate)
-        if number:
-            rows, ids = fold_members(spark.read.parquet(f"{base}/lookup_{number - 1}"), spark.read.parquet(f"{base}/members_{number - 1}"), texts)
-        else:
-            found, ids = entries(texts)
-            rows, ids = lookup_rows(texts, found).drop("seq"), ids.select("id", "lookup_id")
-        save(rows, f"{base}/lookup_{number}")
-        save(ids, f"{base}/members_{number}")
-
-    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
