@@ -27,6 +27,7 @@ NAME = re.compile(r"[a-z]+")
 UNSEEN = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+FOREIGN = ("svg", "math")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul button".split())
 CLOSES_P = BLOCKS - frozenset("body html option".split())
 ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -49,7 +50,8 @@ class Costs:
     heading: float = 1.0
     links: float = 4.0  #: times the share of link text
     notice: float = 3.0  #: starts with a copyright sign
-    bare: float = 1.0  #: no container and short
+    bare: float = 1.0  #: outside the content elements of a page that has some, less the longer the text
+    bare_length: float = 40.0  #: from which on it costs nothing
     neighbours: float = 0.5
     siblings: float = 1.0
 
@@ -202,8 +204,8 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag == "body" and (k := innermost("head")) >= 0:
             leave(k)
-        if tag in VOID or attributes.endswith("/"):
-            continue
+        if tag in VOID or (attributes.endswith("/") and (tag in FOREIGN or any(opened.get(f) for f in FOREIGN))):
+            continue  # elsewhere a slash closes nothing: it may end an address
         count += 1
         sign, up = _sign(tag, attributes), stack[-1]
         around, inside = (up.around + up.inside, 0) if sign > 0 else (up.around, up.inside + (sign < 0))
@@ -219,12 +221,12 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def terminals(block: Block, costs: Costs = COSTS) -> tuple[float, float]:
-    """(tie to content, tie to boilerplate) of a block."""
+def terminals(block: Block, costs: Costs = COSTS, marked: bool = False) -> tuple[float, float]:
+    """(tie to content, tie to boilerplate) of a block; ``marked`` if its page has content elements."""
     holder, size = block.holder, len(block.text)
     good = min(costs.longest, costs.length * size) + costs.container * holder.content + costs.heading * holder.heading
     bad = costs.boilerplate_inside * (holder.inside > 0) + costs.boilerplate_outside * holder.around + costs.links * min(1.0, block.links / size) + costs.notice * (block.text[0] in "©®")
-    return good, bad + costs.bare * (not holder.content and size < 40)
+    return good, bad + costs.bare * (marked and not holder.content) * max(0.0, 1 - size / costs.bare_length)
 
 
 def minimum_cut(good: list[float], bad: list[float], ties: dict[tuple[int, int], float]) -> list[bool]:
@@ -316,7 +318,8 @@ def main_text(page: str | None, costs: Costs = COSTS) -> str:
     drawn to the links beside it.
     """
     found = blocks(page or "")
-    good, bad = zip(*(terminals(b, costs) for b in found), strict=True) if found else ((), ())
+    marked = any(b.holder.content for b in found)
+    good, bad = zip(*(terminals(b, costs, marked) for b in found), strict=True) if found else ((), ())
     share = [min(1.0, b.links / len(b.text)) for b in found]
     ties: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
