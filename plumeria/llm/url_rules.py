@@ -8,6 +8,7 @@ each hangs on its rarest token, so a URL looks only at the rules of tokens that
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -79,9 +80,12 @@ def weak_labels(urls: DataFrame) -> DataFrame:
 def mine_rules(labelled: DataFrame, limit: int = MAX_LABELLED) -> list[Rule]:
     """Block rules of (url, blocked) rows, by FP-growth over at most ``limit`` different ones, drawn by hash.
 
-    A repeated URL counts once, so copies fill no sample; labelled both ways, it counts as blocked. All
-    rules that the sample supports reach the driver, but for those that a part of them implies. No
-    labelled row, or no blocked one, gives no rules.
+    A repeated URL counts once, so copies fill no sample; labelled both ways, it counts as blocked. A token
+    that too few blocked URLs have is in no rule, and one that is a rule alone makes all longer ones needless;
+    combinations are mined of the others only, one for all tokens that the same URLs have, so a path that a
+    site's URLs share doesn't multiply. All rules
+    reach the driver, but for those that a part of them implies. No labelled row, or no blocked one, gives no
+    rules.
     """
     each = labelled.select(F.col("url").cast("string"), F.col("blocked").cast("boolean")).dropna().groupBy("url").agg(F.bool_or("blocked").alias("blocked"))
     drawn = each.orderBy(F.xxhash64("url"), "url").limit(limit)
@@ -95,15 +99,24 @@ def mine_rules(labelled: DataFrame, limit: int = MAX_LABELLED) -> list[Rule]:
     if not total or not rows.filter("blocked").limit(1).count():
         rows.unpersist()
         return []
-    items = F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens"))
-    model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(rows.select(items.alias("items")))
-    mined = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK)))
-    best = mined.orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), F.concat_ws(" ", F.array_sort("antecedent"))).collect()
+    least = math.ceil(MIN_SUPPORT * total)
+    each = rows.select(F.explode(F.array_distinct("tokens")).alias("t"), "blocked", F.xxhash64("tokens").alias("h"))
+    single = each.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("b"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit((1 << 31) - 1))).alias("s"))
+    frequent = single.filter(F.col("b") >= least).collect()  # each is in a share of MIN_SUPPORT of all rows
+    best = sorted(((r.t,), r.b / r.n, r.b / total) for r in frequent if r.b / r.n >= MIN_CONFIDENCE)
+    # tokens of the same URLs can stand for each other, so the least of them does
+    open_tokens = sorted({(r.n, r.b, r.x, r.s): r.t for r in sorted(frequent, key=lambda r: r.t, reverse=True) if r.b / r.n < MIN_CONFIDENCE}.values())
+    if open_tokens:
+        tokens_left = F.filter("tokens", lambda t: t.isin(*open_tokens))
+        items = F.when(F.col("blocked"), F.array_append(tokens_left, F.lit(BLOCK))).otherwise(tokens_left)
+        model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(rows.select(items.alias("items")))
+        mined = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK)))
+        best += [(r.antecedent, r.confidence, r.support) for r in mined.orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), F.concat_ws(" ", F.array_sort("antecedent"))).collect()]
     rows.unpersist()
     kept: list[Rule] = []
     index: dict[str, list[Rule]] = defaultdict(list)
-    for row in best:  # a rule comes after all rules of fewer tokens
-        rule = Rule(frozenset(row.antecedent), float(row.confidence), float(row.support))
+    for antecedent, confidence, support in best:  # a rule comes after all rules of fewer tokens
+        rule = Rule(frozenset(antecedent), float(confidence), float(support))
         if not any(r.tokens <= rule.tokens and r.confidence >= rule.confidence for t in rule.tokens for r in index[t]):
             kept.append(rule)
             index[min(rule.tokens)].append(rule)
