@@ -130,7 +130,9 @@ class Grammar:
         for at in sorted(hits):
             if at < done:
                 continue
-            start = max((text.rfind(c, 0, at) for c in ".!?;:\n"), default=-1) + 1
+            low = max(done, 0)  # no clause reaches back over the end of the one before, so each character is looked at once
+            start = max(text.rfind(c, low, at) for c in ".!?;:\n")
+            start = start + 1 if start >= 0 else low
             close = CLAUSE_END.search(text, at)
             done = close.start() if close else len(text)
             state, score, step = self.machine.start, 0.0, self.machine.arcs
