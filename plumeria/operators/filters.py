@@ -161,7 +161,7 @@ def apply_filters(df: DataFrame, options: QueryOptions, literal: bool = False) -
     return df if found is None else df.filter(found)
 
 
-def order(df: DataFrame, options: QueryOptions, default: str = "created_at", tie: str = "id") -> DataFrame:
+def order_columns(df: DataFrame, options: QueryOptions, default: str = "created_at", tie: str = "id") -> list[Column]:
     """One resolved column, nulls last ascending and first descending; an unknown one leaves the order open but for the tie-break."""
     by = []
     if options.sort:
@@ -169,11 +169,15 @@ def order(df: DataFrame, options: QueryOptions, default: str = "created_at", tie
             by.append(F.col(name).asc_nulls_last() if options.sort[1] == "asc" else F.col(name).desc_nulls_first())
     elif default in df.columns:
         by.append(F.col(default).desc_nulls_first())
-    return df.orderBy(*by, F.col(tie).asc_nulls_last())
+    return [*by, F.col(tie).asc_nulls_last()]
+
+
+def order(df: DataFrame, options: QueryOptions, default: str = "created_at", tie: str = "id") -> DataFrame:
+    return df.orderBy(*order_columns(df, options, default, tie))
 
 
 def page(df: DataFrame, options: QueryOptions, default: str = "created_at", tie: str = "id") -> DataFrame:
-    """Filtered, ordered, and cut to the page if both its number and size are set."""
+    """Filtered, ordered, and cut to the page if both its number and size are set; for deep pages, or many, see ``pages.Pages``."""
     out = order(apply_filters(df, options), options, default, tie)
     if options.page and options.page_size:
         out = out.offset((options.page - 1) * options.page_size).limit(options.page_size)

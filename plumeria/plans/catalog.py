@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import clusters, dedup, enrich, filters, joins, quality, quotes, schema_rules, stats
+from ..operators import clusters, dedup, enrich, filters, joins, pages, quality, quotes, schema_rules, silhouette, stats
 from ..operators.filters import QueryOptions
 from ..schemas import LOOKUP_JSON_SCHEMA, STANCES, FieldSpec
 from ..shared import new_path
@@ -459,14 +459,16 @@ def srt_03_page(spark, sf):
     return filters.page(comments(spark, sf), QueryOptions(sort=("stance", "asc"), page=3, page_size=25)).select("id", "stance")
 
 
-CODES = ["0", "0a", "0aa", "0b", "2", "10", "10a", "1"]
+#: Path codes of three levels, from documents' numbers and languages.
+CODES = "SELECT DISTINCT (doc_id % 12)::VARCHAR || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN left(lang, 1) ELSE left(lang, 2) END AS code FROM documents"
 
 
-@query("SELECT code, row_number() OVER (ORDER BY regexp_extract(code, '^[0-9]+')::INTEGER, length(regexp_replace(code, '^[0-9]+', '')), code)::INTEGER AS position FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in CODES) + "]) AS code)")
+@query(f"SELECT code, row_number() OVER (ORDER BY regexp_extract(code, '^[0-9]+')::INTEGER, length(regexp_replace(code, '^[0-9]+', '')), code)::INTEGER AS position FROM ({CODES})")
 def srt_07_natural(spark, sf):
-    codes = spark.createDataFrame([(c,) for c in CODES], "code string")
-    ordered = F.sort_array(F.collect_list(F.struct(V.cluster_parent(F.col("code")).alias("p"), F.length(V.cluster_suffix(F.col("code"))).alias("n"), "code")))
-    return codes.agg(ordered.alias("o")).select(F.posexplode("o").alias("p", "x")).select("x.code", (F.col("p") + 1).alias("position"))
+    kind, lang = F.col("doc_id") % 4, F.col("lang")
+    code = F.concat((F.col("doc_id") % 12).cast("string"), F.when(kind == 0, "").when(kind == 1, F.left(lang, F.lit(1))).otherwise(F.left(lang, F.lit(2))))
+    codes = table(spark, sf, "documents").select(code.alias("code")).distinct()
+    return codes.select("code", F.row_number().over(Window.orderBy(*V.natural_order(F.col("code")))).alias("position"))
 
 
 # Joins and sets
@@ -589,12 +591,21 @@ def agg_32_variance(spark, sf):
     return clusters.mean_variance(e, "label").withColumn("variance", six("variance"))
 
 
-CURVE = [(2, 900.0), (3, 500.0), (4, 350.0), (5, 300.0)]
+CURVE = "SELECT l_linenumber::BIGINT AS k, sum(l_quantity)::DOUBLE AS wcss FROM lineitem GROUP BY 1"
 
 
-@query("SELECT k, wcss, lead(wcss, 2) OVER (ORDER BY k) - 2 * lead(wcss) OVER (ORDER BY k) + wcss AS diff2 FROM (VALUES " + ", ".join(f"({k}::BIGINT, {w}::DOUBLE)" for k, w in CURVE) + ") t(k, wcss)")
+@query(f"SELECT k, round(wcss, 6) AS wcss, round(lead(wcss, 2) OVER (ORDER BY k) - 2 * lead(wcss) OVER (ORDER BY k) + wcss, 6) AS diff2 FROM ({CURVE})")
 def win_07_differences(spark, sf):
-    return clusters.second_differences(spark.createDataFrame(CURVE, "k long, wcss double"))
+    """Second differences of a falling curve: quantities by line number."""
+    curve = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("k")).agg(F.sum("l_quantity").cast("double").alias("wcss"))
+    return clusters.second_differences(curve).select("k", six("wcss").alias("wcss"), six("diff2").alias("diff2"))
+
+
+@query("SELECT id, stance, organization FROM (SELECT id, stance, organization, row_number() OVER (ORDER BY stance DESC NULLS FIRST, id) - 1 AS place, count(*) OVER () AS n FROM (" + COMMENTS + ")) WHERE place >= ((n - 1) // 25) * 25")
+def srt_10_last_page(spark, sf):
+    """The last page of 25, which reads one range of the order."""
+    found = pages.pages(comments(spark, sf), QueryOptions(sort=("stance", "desc")))
+    return found.page(found.count(25), 25).select("id", "stance", "organization")
 
 
 @query(f"SELECT id, cluster_id FROM ({VECTORS}) WHERE cluster_id = '1'")
@@ -612,6 +623,13 @@ def ml_02_ward(spark, sf):
     return clusters.ward_clusters(vectors(spark, sf))
 
 
+@query()
+def ml_06_best_number(spark, sf):
+    """The mean silhouette of each number of clusters tried, and which is best."""
+    best, tried = silhouette.best_number(vectors(spark, sf))
+    return spark.createDataFrame([(k, s, k == best) for k, s in tried.items()], "k int, silhouette double, best boolean")
+
+
 @query()
 def ml_08_pca(spark, sf):
     return clusters.plane(vectors(spark, sf))
