@@ -33,6 +33,8 @@ SKETCH_BITS = 512
 LARGE, HUBS = 64, 3
 #: Texts of one end that are compared in a cell, about.
 TEXTS_AT_ONCE = 1_000
+#: Members of such a group that are compared in one cell with each other, and with those of another block; about.
+ACROSS = 4_096
 #: Pairs of a large group whose sketches are compared at once, about (64 MB for each side).
 PAIRS_AT_ONCE = 1_000_000
 
@@ -97,26 +99,30 @@ def _may(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return (UNDER * np.minimum(a, b) >= OVER * np.maximum(a, b)) & ((OVER + UNDER) * most >= OVER * (a + b))
 
 
-def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Columns of whole groups of the first column, with the groups' starts and ends."""
-    held = None
+def _groups(batches: Iterator[pd.DataFrame], columns: list[str], keys: int = 1) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of whole groups of the first ``keys`` columns, with the groups' starts and ends; each row is copied once."""
+    held: list[list[np.ndarray]] = []
+    whole = lambda: _bounded([np.concatenate(x) for x in zip(*held, strict=True)], keys)
     for batch in batches:
         now = [batch[c].to_numpy() for c in columns]
         if not len(now[0]):
             continue
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        last = np.flatnonzero(now[0] != now[0][-1])
+        last = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in now[:keys]]))
         cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
-        held = [x[cut:] for x in now]
         if cut:
-            yield _bounded([x[:cut] for x in now])
-    if held is not None:
-        yield _bounded(held)
+            held.append([x[:cut] for x in now])
+        elif held and all(h[0] == c[0] for h, c in zip(held[0][:keys], now, strict=False)):
+            held.append(now)
+            continue
+        if held:
+            yield whole()
+        held = [[x[cut:] for x in now]]
+    if held:
+        yield whole()
 
 
-def _bounded(now: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    change = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
+def _bounded(now: list[np.ndarray], keys: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:keys]])) + 1
     return now, np.concatenate([[0], change]), np.concatenate([change, [len(now[0])]])
 
 
@@ -153,15 +159,17 @@ def meetings(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "id").mapInPandas(run, "token long, a long, b long, n int, pos int")
 
 
-def across(members: DataFrame) -> DataFrame:
+def across(members: DataFrame, block: int = ACROSS) -> DataFrame:
     """(a, b) of the pairs of ``members`` (token, id, n, pos, root, bits) that share a token, have different roots and can be similar.
 
     Texts that have a common passage but little else meet here in large groups, so their sketches are compared
-    before a pair becomes a row. Some ``PAIRS_AT_ONCE`` are looked at together, whatever the size of a group.
+    before a pair becomes a row. A group of over ``block`` members is cut into blocks of about so many, and each
+    pair of blocks is a cell of its own, so that many tasks share the group; of a cell, some ``PAIRS_AT_ONCE``
+    are looked at together.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, sets, n, pos, root, bits), starts, ends in _groups(batches, ["token", "id", "n", "pos", "root", "bits"]):
+        for (_, low, high, own, sets, n, pos, root, bits), starts, ends in _groups(batches, ["token", "low", "high", "own", "id", "n", "pos", "root", "bits"], 3):
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 kinds, of, sizes = np.unique(root[s:e], return_inverse=True, return_counts=True)
                 if len(kinds) == 1:
@@ -174,12 +182,18 @@ def across(members: DataFrame) -> DataFrame:
                     i, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + step, rest)), np.arange(at, len(order)), indexing="ij"))
                     i, j = order[i[i < j]], order[j[i < j]]
                     fits = (root[i] != root[j]) & _may(n, pos, i, j)
+                    if low[s] != high[s]:  # pairs of one block have a cell of their own
+                        fits &= own[i] != own[j]
                     i, j = i[fits], j[fits]
                     close = _close(words[i - s], words[j - s], n[i].astype(np.int64) + n[j])
                     if close.any():
                         yield _pairs(sets, i[close], j[close])
 
-    return members.repartition("token").sortWithinPartitions("token", "id").mapInPandas(run, "a long, b long")
+    large = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).filter("blocks > 1")
+    placed = members.join(large, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "pos", "root", "bits")
+    return dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "id").mapInPandas(run, "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:

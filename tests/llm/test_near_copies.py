@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from plumeria.llm import near_copies
@@ -95,7 +96,21 @@ def test_large_groups_by_brute_force(spark):
     rows = [(1, k, len(s), 0, k % 7, bytearray(near_copies.sketch(s))) for k, s in enumerate(sets)]
     members = spark.createDataFrame(rows, "token long, id long, n int, pos int, root long, bits binary")
     got = {(r.a, r.b) for r in near_copies.across(members).collect()}
+    cells = near_copies.across(members, 16)  # five blocks, so fifteen cells
+    assert got == {(r.a, r.b) for r in cells.collect()}
     alike = {(a, b) for a in range(80) for b in range(a) if a % 7 != b % 7 and near_copies.similar(sets[a], sets[b])}
     apart = {(a, b): sum((x ^ y).bit_count() for x, y in zip(near_copies.sketch(sets[a]), near_copies.sketch(sets[b]), strict=True)) for a in range(80) for b in range(a) if a % 7 != b % 7}
     can = {(a, b) for (a, b), d in apart.items() if 9 * d <= len(sets[a]) + len(sets[b]) and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b]))}
     assert got == can and alike <= got and alike and len(got) < len(apart)
+
+
+def test_groups_come_whole_from_any_batches():
+    rng = np.random.default_rng(7)
+    keys = np.sort(rng.integers(0, 12, 200))
+    second = np.concatenate([np.sort(rng.integers(0, 3, n)) for n in np.unique(keys, return_counts=True)[1]])
+    frame = pd.DataFrame({"k": keys, "j": second, "v": np.arange(200)})
+    want = [g["v"].tolist() for _, g in frame.groupby(["k", "j"])]
+    for size in (1, 7, 200):
+        batches = [frame.iloc[:0], *(frame.iloc[at : at + size] for at in range(0, 200, size))]
+        got = [v[s:e].tolist() for (_, _, v), starts, ends in near_copies._groups(iter(batches), ["k", "j", "v"], 2) for s, e in zip(starts, ends, strict=True)]
+        assert got == want
