@@ -5,9 +5,10 @@ Where a lookup table only tells which ids it has, its members (id, lookup_id) do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_ws
 from ..schemas import LOOKUP, LOOKUP_DEFAULTS
 from .dedup import bridge, pairs
 
@@ -75,6 +76,31 @@ def sidecar_texts(lookup: DataFrame, texts: DataFrame) -> DataFrame:
     return each.groupBy("lookup_id").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n").alias("text"))
 
 
+def rebuilt_texts(lookup: DataFrame, members: DataFrame, comments: DataFrame, attachments: DataFrame, updated: DataFrame, most: int = 1000) -> DataFrame:
+    """``lookup`` with new truncated_text and text_source in the rows that have an id of ``updated`` (id).
+
+    The text is that of all members (id, seq, lookup_id) in their order: the comment (id, comment) and then its
+    attachments (id, name, text) by name, stripped, empty ones left out, with a blank line between and cut at ``most``
+    characters without dots. The source is ``both``, ``attachment`` or ``comment``; an attachment without a text counts
+    for it. Each piece adds three characters or more, so the first ``(most + 4) // 3`` of a row are all that its text can
+    need, and no task holds more of a row that many comments share.
+    """
+    touched = members.join(updated.select("id").distinct(), "id", "left_semi").select("lookup_id").distinct()
+    own = members.select("id", "seq", "lookup_id").join(touched, "lookup_id", "left_semi")
+    said = own.join(comments.filter("comment != ''").select("id", F.lit(False).alias("attached"), F.lit("").alias("name"), F.substring("comment", 1, most).alias("piece")), "id")
+    added = own.join(attachments.select("id", F.lit(True).alias("attached"), "name", F.substring(trim_ws(F.col("text")), 1, most).alias("piece")), "id")
+    pieces = said.unionByName(added)
+    first = Window.partitionBy("lookup_id").orderBy("seq", "id", "attached", "name")
+    needed = pieces.filter("piece != ''").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= (most + 4) // 3)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "\n\n")
+    text = needed.groupBy("lookup_id").agg(F.substring(joined, 1, most).alias("_text"))
+    source = pieces.groupBy("lookup_id").agg(F.bool_or("attached").alias("_attached"), F.bool_or(~F.col("attached")).alias("_said"))
+    found = touched.join(text, "lookup_id", "left").join(source, "lookup_id", "left").withColumn("_touched", F.lit(True))
+    kind = F.when(F.col("_attached") & F.col("_said"), "both").when(F.col("_attached"), "attachment").otherwise("comment")
+    new = {"truncated_text": F.when(F.col("_touched"), F.coalesce("_text", F.lit(""))).otherwise(F.col("truncated_text")), "text_source": F.when(F.col("_touched"), kind).otherwise(F.col("text_source"))}
+    return lookup.join(found, "lookup_id", "left").withColumns(new).drop("_text", "_attached", "_said", "_touched")
+
+
 def relabel(lookup: DataFrame, found: DataFrame) -> DataFrame:
     """Put cluster_id, pca_x and pca_y of ``found`` on the lookup table; rows that it has not got keep theirs."""
     names = ("cluster_id", "pca_x", "pca_y")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..operators import clusters, dedup, enrich, filters, joins, quality, quotes, stats
+from ..operators import clusters, dedup, embeddings, enrich, filters, joins, quality, quotes, stats
 from ..operators.filters import QueryOptions
-from ..sources import readers
+from ..sources import office, readers
 from .catalog import COMMENTS, EVENTS, GROUPS, LOOKUPS, VECTORS, comments, entries, events, lookup, query, shared, table, texts, vectors
 
 NESTED = "SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS comment, count(*) FILTER (turn > 0) AS n, coalesce(string_agg(role || turn, '; ' ORDER BY turn) FILTER (turn > 0), '') AS titles FROM conversations GROUP BY 1"
@@ -349,3 +349,56 @@ def udf_06_best_text(spark, sf):
 @query("SELECT dense_rank() OVER (ORDER BY label)::INTEGER - 1 AS flat, vec_id AS id FROM embeddings")
 def ml_11_flat_labels(spark, sf):
     return clusters.flat_labels(vectors(spark, sf).withColumn("cluster_id", F.col("cluster_id"))).select("id", "flat")
+
+
+REBUILT = f"""WITH l AS ({LOOKUPS}), m AS (SELECT lookup_id, unnest(string_split(ids, ','))::BIGINT AS id FROM l),
+touched AS (SELECT DISTINCT lookup_id FROM m JOIN pages ON page_id = id),
+p AS (SELECT lookup_id, id, 0 AS k, text AS piece FROM m JOIN documents ON doc_id = id WHERE text <> '' UNION ALL SELECT lookup_id, id, 1, html FROM m JOIN pages ON page_id = id)
+SELECT lookup_id, CASE WHEN min(k) = 1 THEN 'attachment' ELSE 'both' END AS text_source, md5(left(string_agg(piece, chr(10) || chr(10) ORDER BY id, k), 1000)) AS digest FROM p JOIN touched USING (lookup_id) GROUP BY 1
+UNION ALL SELECT lookup_id, 'comment', md5(trim(text)) FROM l JOIN documents ON doc_id = first_id WHERE lookup_id NOT IN (SELECT lookup_id FROM touched)"""
+
+
+@query(REBUILT)
+def udf_10_rebuilt(spark, sf):
+    """Pages are the attachments that documents of their number have got since."""
+    own = texts(spark, sf)
+    found, ids = dedup.entries(own)
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("name"), F.col("html").alias("text"))
+    out = joins.rebuilt_texts(dedup.lookup_rows(own, found).drop("seq"), ids, comments(spark, sf), pages, pages.select("id"))
+    return out.select("lookup_id", "text_source", F.md5("truncated_text").alias("digest"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")
+def udf_05_rtf(spark, sf):
+    """Documents as RTF files, each byte escaped, and their texts out of these."""
+    body = F.regexp_replace(F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "(..)", r"\\'$1")
+    content = F.encode(F.concat(F.lit(r"{\rtf1\ansi\ansicpg65001{\fonttbl{\f0 Times;}}\f0 "), body, F.lit("}")), "US-ASCII")
+    files = table(spark, sf, "documents").select(F.concat("doc_id", F.lit(".rtf")).alias("path"), content.alias("content"))
+    text = F.when(F.col("text") == office.EMPTY_RTF, "").otherwise(F.col("text"))
+    return enrich.extract(files, office.local_text).select(F.split("path", "[.]")[0].cast("long").alias("doc_id"), F.md5(text).alias("digest"))
+
+
+HASHED = """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents),
+c AS (SELECT doc_id, ('0x' || left(md5(word), 8))::BIGINT % 256 AS dim, count(*) AS n FROM w GROUP BY 1, 2),
+v AS (SELECT doc_id, dim, (n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS x FROM c)
+SELECT d.doc_id, count(v.dim) AS dims, coalesce(round(max(x), 6), 0) AS peak, coalesce(round(sum(x * dim), 4), 0) AS weighted FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY 1"""
+
+
+@query(HASHED)
+def ml_01_embeddings(spark, sf):
+    d = embeddings.embed(table(spark, sf, "documents").select("doc_id", "text"), "text", embeddings.HashedEncoder()).withColumn("v", F.col("embedding").cast("array<double>"))
+    weighted = F.aggregate(F.transform("v", lambda x, k: x * k), F.lit(0.0), lambda s, x: s + x)
+    return d.select("doc_id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("dims"), F.round(F.array_max("v"), 6).alias("peak"), F.round(weighted, 4).alias("weighted"))
+
+
+@query("SELECT doc_id, lang || '|' || source || '; ' || source || '|Attachment; ' || doc_id || '|Attachment' AS links FROM documents")
+def txt_12_links(spark, sf):
+    d = table(spark, sf, "documents")
+    links = T.zip_links(F.concat_ws("; ", "lang", "source", "doc_id"), F.concat_ws("; ", "source", F.lit("")))
+    return d.select("doc_id", F.array_join(F.transform(links, lambda x: F.concat_ws("|", x["url"], x["title"])), "; ").alias("links"))
+
+
+@query("SELECT doc_id::VARCHAR AS lookup_id, md5(left(coalesce(text, ''), 1003)) AS digest, least(length(coalesce(text, '')), 1003)::INTEGER AS truncated_text_length, '' AS text_source FROM documents")
+def val_07_repaired(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("lookup_id"), F.col("text").alias("truncated_text"), F.lit(True).alias("corrected"))
+    return quality.repair_lookup(d).select("lookup_id", F.md5("truncated_text").alias("digest"), "truncated_text_length", "text_source")
