@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import mimetypes
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 ATTACHMENT_MARK = "\n\n--- ATTACHMENT CONTENT ---\n"
@@ -71,12 +75,24 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<.*?>", "")
 
 
+def unescape(c: Column) -> Column:
+    """All character references decoded as HTML5 has them: names with or without a semicolon, and numbers."""
+
+    @F.pandas_udf(StringType())
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return decoded(c)
+
+
 def strip_html(c: Column) -> Column:
-    """Remove tags, also across lines, and decode the common entities."""
-    out = F.regexp_replace(c, "<[^>]*>", "")
+    """Remove tags, also across lines, and decode character references: the common ones in the JVM, and texts that have others in Python."""
+    bare = F.regexp_replace(c, "<[^>]*>", "")
+    rare = F.rlike(bare, F.lit(f"&(?!(?:{'|'.join(e[1:-1] for e in ENTITIES)});)[#A-Za-z]"))
+    out = bare
     for entity, char in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    return F.coalesce(unescape(F.when(rare, bare)), out)
 
 
 def clean_for_comparison(c: Column) -> Column:
@@ -179,14 +195,19 @@ def extension(url: Column, default: str = ".txt") -> Column:
 
 
 def mime_type(url: Column, name: Column) -> Column:
-    """By the name's extension, else by the first known extension that the URL has in it, else binary."""
-    ext = F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]+)$", 1))
-    out = None
-    for k, v in MIME_TYPES.items():
-        out = F.when(ext == k, v) if out is None else out.when(ext == k, v)
-    for k, v in MIME_TYPES.items():
-        out = out.when(F.contains(F.lower(url), F.lit(f".{k}")), v)
-    return out.otherwise("application/octet-stream")
+    """By the name's extension, that of a compressed file before the compression's; else by the first known one that the URL has in it, else binary."""
+    table = mimetypes.MimeTypes(())
+    kinds = {k[1:]: v for k, v in table.types_map[True].items()} | MIME_TYPES
+    bare = F.lower(name)
+    for short, long in table.suffix_map.items():
+        bare = F.when(bare.endswith(short), F.regexp_replace(bare, f"{re.escape(short)}$", long)).otherwise(bare)
+    bare = F.regexp_replace(bare, f"({'|'.join(re.escape(k.lower()) for k in table.encodings_map)})$", "")
+    ext = F.nullif(F.regexp_extract(bare, "[^/.][^/]*\\.([a-z0-9]+)$", 1), F.lit(""))
+    known = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    within = F.lit(None).cast("string")
+    for k, v in reversed(MIME_TYPES.items()):
+        within = F.when(F.contains(F.lower(url), F.lit(f".{k}")), v).otherwise(within)
+    return F.coalesce(F.try_element_at(known, ext), within, F.lit("application/octet-stream"))
 
 
 def lookup_id(n: Column) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.text import clean_for_comparison, normalize_quotes, words
+from ..functions.text import clean_for_comparison, normalize_quotes, words, wrap
+from .dedup import numbered
+
+# Fixed values of the report.
+WIDE, NARROW = "=" * 80, "-" * 40
+SECTIONS = {"missing": (1, "QUOTES NOT FOUND"), "similar": (2, "QUOTES WITH SIMILAR MATCHES")}
 
 
 def match_type(quote: Column, text: Column) -> Column:
@@ -34,3 +41,48 @@ def rates(verified: DataFrame) -> DataFrame:
 
 def problems(verified: DataFrame) -> DataFrame:
     return verified.filter(F.col("match_type").isin("similar", "missing"))
+
+
+def report(verified: DataFrame) -> DataFrame:
+    """(section, number, lookup_id, text): the text report's parts in order, of ``verified`` lookup rows.
+
+    Section 0 is the summary; in 1, quotes not found, and 2, similar ones, number 0 is the heading and the entries follow
+    in the order of lookup_id, with up to five of their comment_ids if there are any. Entries are made and numbered in
+    tasks, so the report may be as long as the table.
+    """
+    count = F.coalesce(F.col("comment_count"), F.lit(0))
+    share = lambda c: F.concat(c.cast("string"), F.lit(" ("), F.coalesce(F.bround(c / F.nullif(F.col("with_quotes"), F.lit(0)) * 100, 1), F.lit(0)).cast("string"), F.lit("%)"))
+    totals = rates(verified).crossJoin(verified.agg(F.coalesce(F.sum(count), F.lit(0)).alias("comments")))  # a row each
+    lines = [
+        F.lit(f"QUOTE VERIFICATION REPORT\n{WIDE}\n\nSUMMARY\n{NARROW}"),
+        F.concat(F.lit("Total lookup entries: "), "total"),
+        F.concat(F.lit("Total comments represented: "), "comments"),
+        F.concat(F.lit("Lookup entries with quotes: "), "with_quotes"),
+        F.concat(F.lit("Quotes found (exact): "), share(F.col("exact"))),
+        F.concat(F.lit("Quotes found (similar): "), share(F.col("similar"))),
+        F.concat(F.lit("Quotes NOT found: "), share(F.col("missing"))),
+        F.concat(F.lit("Overall verification rate: "), F.coalesce("found_rate", F.lit(0)).cast("string"), F.lit("%\n")),
+    ]
+    none = F.lit(None).cast("string")
+    summary = totals.select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("number"), none.alias("lookup_id"), F.concat_ws("\n", *lines).alias("text"))
+
+    @F.pandas_udf(StringType())
+    def wrapped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: "\n".join(f"   {x}" for x in wrap(t or "", 77).split("\n")))
+
+    listed = F.col("comment_ids") if "comment_ids" in verified.columns else F.lit(None).cast("array<string>")
+    section = F.when(F.col("match_type") == "missing", 1).otherwise(2)
+    rows = problems(verified).select("lookup_id", section.alias("section"), count.alias("n"), listed.alias("ids"), F.col("key_quote").alias("quote"), F.col("truncated_text").alias("body"))
+    placed = numbered(rows.select("section", "lookup_id"), ["section", "lookup_id"], "place")
+    heads = placed.groupBy("section").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("entries"))
+    number = (F.col("place") - F.col("first") + 1).alias("number")
+    entries = rows.join(placed, ["section", "lookup_id"]).join(heads, "section").select("*", number)
+    opening = F.concat(F.col("number"), F.lit(". Lookup ID: "), "lookup_id", F.lit("\n   Represents "), "n", F.lit(" comment(s)\n"))
+    ids = F.when(F.col("ids").isNotNull(), F.concat(F.lit("   Comment IDs: "), F.array_join(F.slice(F.col("ids").cast("array<string>"), 1, 5), ", "), F.when(F.size("ids") > 5, "...").otherwise(""), F.lit("\n"))).otherwise("")
+    quote = F.concat(F.lit('   QUOTE: "'), "quote", F.lit('"\n'))
+    missing = F.concat(opening, ids, F.lit("\n"), quote, F.lit("\n   TRUNCATED TEXT ("), F.length("body"), F.lit(" characters):\n"), wrapped(F.when(F.col("section") == 1, F.col("body"))), F.lit(f"\n{'-' * 80}\n"))
+    similar = F.concat(opening, quote, F.lit(f"   MATCH INFO: Found similar (not exact)\n{NARROW}\n"))
+    blocks = entries.select("section", "number", "lookup_id", F.when(F.col("section") == 1, missing).otherwise(similar).alias("text"))
+    title = F.when(F.col("section") == 1, SECTIONS["missing"][1]).otherwise(SECTIONS["similar"][1])
+    headings = heads.select("section", F.lit(0).cast("long").alias("number"), none.alias("lookup_id"), F.concat(F.lit("\n"), title, F.lit(" ("), "entries", F.lit(f" entries)\n{WIDE}\n")).alias("text"))
+    return summary.unionByName(headings).unionByName(blocks)

@@ -402,3 +402,30 @@ def txt_12_links(spark, sf):
 def val_07_repaired(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("lookup_id"), F.col("text").alias("truncated_text"), F.lit(True).alias("corrected"))
     return quality.repair_lookup(d).select("lookup_id", F.md5("truncated_text").alias("digest"), "truncated_text_length", "text_source")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def txt_05_entities(spark, sf):
+    """Texts with references for some of their characters, decoded."""
+    text = F.replace(F.col("text"), F.lit("&"), F.lit("&amp;"))
+    for char, reference in {"é": "&eacute;", "ç": "&#231;", "è": "&#xE8;", "ü": "&uuml;", "<": "&lt;", ",": "&comma;"}.items():
+        text = F.replace(text, F.lit(char), F.lit(reference))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.strip_html(text)).alias("digest"))
+
+
+QUOTED = """WITH q AS (SELECT doc_id::VARCHAR AS lookup_id, CASE WHEN lang = 'en' OR lang = 'fr' AND contains(text, upper(left(text, 40))) THEN 0
+WHEN lang = 'fr' AND length(trim(regexp_replace(left(text, 40), '\\s+', ' ', 'g'))) > 20 THEN 2 ELSE 1 END AS section FROM documents WHERE coalesce(text, '') <> ''),
+s AS (SELECT * FROM q WHERE section > 0) SELECT section, row_number() OVER (PARTITION BY section ORDER BY lookup_id) AS number, lookup_id, '' AS summary FROM s
+UNION ALL SELECT DISTINCT section, 0, NULL, '' FROM s
+UNION ALL SELECT 0, 0, NULL, 'Quotes found (exact): ' || count(*) FILTER (section = 0) || ' (' || round(count(*) FILTER (section = 0) / count(*) * 100, 1) || '%)' FROM q"""
+
+
+@query(QUOTED)
+def snk_07_quote_report(spark, sf):
+    """Quotes that are the text's own beginning in English, that in capitals in French, and that backwards after a dagger elsewhere."""
+    own = F.substring("text", 1, 40)
+    quote = F.when(F.col("lang") == "en", own).when(F.col("lang") == "fr", F.upper(own)).otherwise(F.concat(F.lit("†"), F.reverse(own)))
+    d = table(spark, sf, "documents").filter("coalesce(text, '') != ''")
+    rows = d.select(F.col("doc_id").cast("string").alias("lookup_id"), F.lit(1).alias("comment_count"), quote.alias("key_quote"), F.col("text").alias("truncated_text"))
+    summary = F.when(F.col("section") == 0, F.regexp_extract("text", "Quotes found .exact.: .*", 0)).otherwise("")
+    return quotes.report(quotes.verify(rows)).select(F.col("section").cast("long").alias("section"), "number", "lookup_id", summary.alias("summary"))

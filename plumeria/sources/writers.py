@@ -69,6 +69,11 @@ def cluster_report(clusters: DataFrame, examples: DataFrame, width: int = 200) -
     return "\n".join(out)
 
 
+def quote_report(parts: DataFrame, path: str) -> None:
+    """The parts of ``quotes.report`` as text files, whose lines in the order of the files' names are the report."""
+    parts.orderBy("section", "number").select("text").write.text(path)
+
+
 def length_histogram(df: DataFrame, text: str, width: int = 100) -> DataFrame:
     """(bucket, n): what a length plot draws."""
     return df.groupBy((F.floor(F.length(F.coalesce(text, F.lit(""))) / width) * width).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).orderBy("bucket")

@@ -69,3 +69,40 @@ def test_lists_and_codes(spark):
     assert T.wrap("aa bb cc", 5) == "aa bb\ncc"
     assert one(spark, T.json_object(F.lit('so: {"a":\n{"b": 1}} end'))) == '{"a":\n{"b": 1}}'
     assert one(spark, V.usable_text(F.lit("[error] " + "x" * 200))) is False
+
+
+def test_character_references(spark):
+    import html
+
+    texts = ["a &rsquo;b&lsquo; &amp;lt;", "&lt;b&gt; &copy; &amp;", "&notit; &copy &#x41;&#66; &#128;", "&amp;rsquo; & x", "R&D &unknown;", "", None, "&nbsp;x", "<p\n>&hellip;</p>"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.x for r in rows.select("k", T.strip_html(F.col("t")).alias("x")).collect()}
+    assert [got[k] for k in range(len(texts))] == [t if t is None else html.unescape(t.replace("<p\n>", "").replace("</p>", "")) for t in texts]
+
+
+def test_types_by_name(spark):
+    import mimetypes
+
+    known = mimetypes.MimeTypes(())
+    names = ["a.png", "b.JPG", "c.mp4", "d.tar.gz", "e.tgz", "f.json", "g.xml", "h.gif.bz2", "i.css", "j.svgz"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.m for r in rows.select("n", T.mime_type(F.lit("http://x"), F.col("n")).alias("m")).collect()} == {n: known.guess_type(n)[0] for n in names}
+    of = lambda url, name: one(spark, T.mime_type(F.lit(url), F.lit(name)))
+    assert of("http://x/a.DOCX?b", "a") == "application/msword" and of("http://x/a.pdf", "a.unheard") == "application/pdf" and of("http://x", "a") == "application/octet-stream"
+    assert of("http://x", "a.docx").endswith("wordprocessingml.document") and of("http://x", "a.rtf") == "application/rtf"
+
+
+def test_quote_report(spark, tmp_path):
+    from plumeria.operators import quotes
+    from plumeria.sources import writers
+
+    rows = [("l2", 3, ["a", "b", "c", "d", "e", "f"], "never said at all", "word " * 40), ("l1", 1, ["g"], "was it", "Here it was it."), ("l3", 2, ["h"], "HERE IT WAS SAID, PLAINLY", "So here it was said, plainly."), ("l4", None, [], None, "x"), ("l0", 1, ["i"], "gone", "text")]
+    lookup = spark.createDataFrame(rows, "lookup_id string, comment_count int, comment_ids array<string>, key_quote string, truncated_text string")
+    writers.quote_report(quotes.report(quotes.verify(lookup)), str(tmp_path / "r"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "r").glob("part-*")))
+    assert "Total lookup entries: 5\nTotal comments represented: 7\nLookup entries with quotes: 4\nQuotes found (exact): 1 (25.0%)\nQuotes found (similar): 1 (25.0%)\nQuotes NOT found: 2 (50.0%)\nOverall verification rate: 50.0%\n" in text
+    assert "QUOTES NOT FOUND (2 entries)" in text and "QUOTES WITH SIMILAR MATCHES (1 entries)" in text
+    assert text.index("SUMMARY") < text.index("1. Lookup ID: l0") < text.index("2. Lookup ID: l2") < text.index("1. Lookup ID: l3")
+    assert "   Comment IDs: a, b, c, d, e...\n\n   QUOTE: \"never said at all\"\n\n   TRUNCATED TEXT (200 characters):\n   word word" in text
+    assert max(map(len, text.split("\n"))) == 80
+    assert quotes.report(quotes.verify(lookup.limit(0))).count() == 1
