@@ -160,3 +160,19 @@ def test_rebuilt_texts_match_a_plain_loop(spark):
             pieces = [x for i in ids for x in [said[i], *((t or "").strip() for j, _, t in files if j == i)] if x]
             talk, kept = any(said[i] for i in ids), any(j in ids for j, _, _ in files)
             assert got[k] == ("\n\n".join(pieces)[:most], "both" if talk and kept else "attachment" if kept else "comment")
+
+
+def test_batch_takes_an_encoder(spark, tmp_path):
+    from plumeria.plans.batch import batch
+    from plumeria.schemas import RAW_COMMENT
+    from plumeria.sources import readers
+
+    head = "Document ID,Title,Comment,First Name,Last Name,Attachment Files,Posted Date,Received Date,Agency ID"
+    rows = [f'X-1-000{k},T,"{t}",A,B,,2024-01-01T00:00Z,2024-01-01T00:00Z,X' for k, t in enumerate(["red green", "red green", "blue sky above"], 1)]
+    (tmp_path / "d.csv").write_text("\n".join([head, *rows]))
+    raw = readers.comments_from_csv(readers.docket_csv(spark, str(tmp_path / "d.csv")))
+    assert [f.name for f in raw.schema] == [f.name for f in RAW_COMMENT]
+    done = batch(raw, str(tmp_path / "r"), encoder=e.HashedEncoder(16))
+    assert done["data"].count() == 3
+    assert spark.read.parquet(str(tmp_path / "r" / "embeddings")).selectExpr("size(embedding) AS n").distinct().first().n == 16
+    assert e.vector_ledger(raw, e.HashedEncoder(16), str(tmp_path / "r" / "vectors")).read().count() == 2
