@@ -85,13 +85,18 @@ def unescape(c: Column) -> Column:
     return decoded(c)
 
 
-def strip_html(c: Column) -> Column:
-    """Remove tags, also across lines, and decode character references: the common ones in the JVM, and texts that have others in Python."""
+def strip_html(c: Column, every: bool = True) -> Column:
+    """Remove tags, also across lines, and decode character references: the common ones in the JVM, and texts that have others in Python.
+
+    Without ``every``, only ``ENTITIES`` are decoded, each with its semicolon.
+    """
     bare = F.regexp_replace(c, "<[^>]*>", "")
-    rare = F.rlike(bare, F.lit(f"&(?!(?:{'|'.join(e[1:-1] for e in ENTITIES)});)[#A-Za-z]"))
     out = bare
     for entity, char in ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))
+    if not every:
+        return out
+    rare = F.rlike(bare, F.lit(f"&(?!(?:{'|'.join(e[1:-1] for e in ENTITIES)});)[#A-Za-z]"))
     return F.coalesce(unescape(F.when(rare, bare)), out)
 
 
