@@ -41,6 +41,12 @@ def replace_each(c: Column, chars: str, by: str) -> Column:
     return c
 
 
+def capitals(c: Column) -> Column:
+    """Upper case letter by letter, ẞ for ß; letters that would become several stay, so that lower case brings the text back."""
+    simple = lambda x: F.when(F.length(F.upper(x)) == F.length(x), F.upper(x)).otherwise(x)
+    return F.array_join(F.transform(F.split(F.replace(c, F.lit("ß"), F.lit("ẞ")), ""), simple), "")
+
+
 def normalize_for_dedup(c: Column) -> Column:
     """Lower case, one space for white space, straight double quotes for „ « », a hyphen for dashes; curly quotes and apostrophes stay."""
     return F.trim(replace_each(squeeze(F.lower(F.coalesce(c, F.lit("")))), "„«»—–−", '"""---'))

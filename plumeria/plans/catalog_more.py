@@ -424,7 +424,7 @@ UNION ALL SELECT 0, 0, NULL, 'Quotes found (exact): ' || count(*) FILTER (sectio
 def snk_07_quote_report(spark, sf):
     """Quotes that are the text's own beginning in English, that in capitals in French, and that backwards after a dagger elsewhere."""
     own = F.substring("text", 1, 40)
-    quote = F.when(F.col("lang") == "en", own).when(F.col("lang") == "fr", F.upper(own)).otherwise(F.concat(F.lit("†"), F.reverse(own)))
+    quote = F.when(F.col("lang") == "en", own).when(F.col("lang") == "fr", T.capitals(own)).otherwise(F.concat(F.lit("†"), F.reverse(own)))
     d = table(spark, sf, "documents").filter("coalesce(text, '') != ''")
     rows = d.select(F.col("doc_id").cast("string").alias("lookup_id"), F.lit(1).alias("comment_count"), quote.alias("key_quote"), F.col("text").alias("truncated_text"))
     summary = F.when(F.col("section") == 0, F.regexp_extract("text", "Quotes found .exact.: .*", 0)).otherwise("")
