@@ -15,7 +15,11 @@ from functools import lru_cache
 CACHE_ENTRIES = 350_000
 #: A longer chunk is encoded each time, so that the cache's bytes have a bound too.
 CACHED_BYTES = 48
-PUNCTUATION = b".,"
+PUNCTUATION = b".,!?;:&*#%$"
+#: Below, no normal form changes a letter that stands among letters.
+LATIN_END = "\u0180"
+#: The letters that stand for the bytes 80 to FF in the vocabulary.
+BYTE_LETTERS = {b: chr(256 + 33 + k) for k, b in enumerate([*range(0x7F, 0xA1), 0xAD]) if b > 0x7F}
 
 
 class Cache(dict):
@@ -43,7 +47,8 @@ class ChunkTokenizer:
 
     Cutting at the ASCII white space bytes only is safe: the library's own ``\\s`` includes them, and
     no normalization form composes across them. So is lower-casing A-Z first, except in a text that may
-    spell a special token, and cutting off ``.`` and ``,`` after an ASCII letter.
+    spell a special token, and cutting off ``PUNCTUATION`` after an ASCII letter. A chunk of Latin letters
+    alone is one word of the library's model, so it is asked at once, without the steps before it.
     """
 
     def __init__(self, vocabulary: str):
@@ -52,10 +57,16 @@ class ChunkTokenizer:
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
+        self._model = self._tokenizer.model
         self._cores, self._chunks = Cache(self._library), Cache(self._chunk)
 
     def _library(self, core: bytes) -> bytes:
-        ids = self._tokenizer.encode(core.decode(), add_special_tokens=False).ids
+        word = core.decode()
+        if core.isalpha() or (word := word.lower()).isalpha() and max(word) < LATIN_END:
+            letters = word.lower() if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = [token.id for token in self._model.tokenize(letters)]
+        else:
+            ids = self._tokenizer.encode(core.decode(), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: bytes) -> bytes:
