@@ -29,6 +29,10 @@ OVER, UNDER = 4, 5
 ASKED, FREQUENT = 8, 1_000_000
 #: Bits of a set's sketch.
 SKETCH_BITS = 512
+#: Residues by which a set of so many members or more is counted too, as half of a long set's sketch bits are set by chance.
+COUNTED = 512
+#: Pairs whose counts are compared at once (100 MB).
+COUNTS_AT_ONCE = 50_000
 #: Sets of one shingle beyond which they are compared with a few of them first, and then only across what that left apart.
 LARGE, HUBS = 64, 3
 #: Texts of one end that are compared in a cell, about.
@@ -59,6 +63,13 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def tally(own: np.ndarray) -> bytes | None:
+    """Of a large set, how many members each residue has, 255 at most; None of a small one, whose sketch tells as much."""
+    if len(own) < COUNTED:
+        return None
+    return np.minimum(np.bincount((own % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED), 255).astype(np.uint8).tobytes()
+
+
 def _words(bits) -> np.ndarray:
     """Sketches as rows of words."""
     return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), SKETCH_BITS // 64)
@@ -69,6 +80,20 @@ def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (OVER + UNDER) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (UNDER - OVER) * n
 
 
+def _alike(x: list, y: list, n: np.ndarray) -> np.ndarray:
+    """Whether sets of these tallies, a pair each, and of these sizes together can be similar; one without a tally can.
+
+    What two tallies differ by, summed up, is no more than the members that only one of the sets has.
+    """
+    out = np.ones(len(n), bool)
+    both = np.flatnonzero([a is not None and b is not None for a, b in zip(x, y, strict=True)])
+    for at in range(0, len(both), COUNTS_AT_ONCE):
+        k = both[at : at + COUNTS_AT_ONCE]
+        a, b = (np.frombuffer(b"".join([side[i] for i in k.tolist()]), np.uint8).reshape(len(k), COUNTED).astype(np.int16) for side in (x, y))
+        out[k] = (OVER + UNDER) * np.abs(a - b).sum(axis=1, dtype=np.int64) <= (UNDER - OVER) * n[k]
+    return out
+
+
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) whose ``sets`` (id, n, bits) can be similar; none that is similar is lost.
 
@@ -160,16 +185,16 @@ def meetings(rows: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, block: int = ACROSS) -> DataFrame:
-    """(a, b) of the pairs of ``members`` (token, id, n, pos, root, bits) that share a token, have different roots and can be similar.
+    """(a, b) of the pairs of ``members`` (token, id, n, pos, root, bits, and counts if known) that share a token, have different roots and can be similar.
 
     Texts that have a common passage but little else meet here in large groups, so their sketches are compared
-    before a pair becomes a row. A group of over ``block`` members is cut into blocks of about so many, and each
+    before a pair becomes a row, and the tallies (counts) of those that are too long for a sketch to tell. A group of over ``block`` members is cut into blocks of about so many, and each
     pair of blocks is a cell of its own, so that many tasks share the group; of a cell, some ``PAIRS_AT_ONCE``
     are looked at together.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, low, high, own, sets, n, pos, root, bits), starts, ends in _groups(batches, ["token", "low", "high", "own", "id", "n", "pos", "root", "bits"], 3):
+        for (_, low, high, own, sets, n, pos, root, bits, counts), starts, ends in _groups(batches, ["token", "low", "high", "own", "id", "n", "pos", "root", "bits", "counts"], 3):
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 kinds, of, sizes = np.unique(root[s:e], return_inverse=True, return_counts=True)
                 if len(kinds) == 1:
@@ -185,14 +210,20 @@ def across(members: DataFrame, block: int = ACROSS) -> DataFrame:
                     if low[s] != high[s]:  # pairs of one block have a cell of their own
                         fits &= own[i] != own[j]
                     i, j = i[fits], j[fits]
-                    close = _close(words[i - s], words[j - s], n[i].astype(np.int64) + n[j])
+                    both = n[i].astype(np.int64) + n[j]
+                    close = _close(words[i - s], words[j - s], both)
+                    i, j, both = i[close], j[close], both[close]
+                    close = _alike(counts[i].tolist(), counts[j].tolist(), both)
                     if close.any():
                         yield _pairs(sets, i[close], j[close])
 
+    if "counts" not in members.columns:
+        members = members.withColumn("counts", F.lit(None).cast("binary"))
+
     large = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).filter("blocks > 1")
     placed = members.join(large, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "pos", "root", "bits")
+    dealt = dealt.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "pos", "root", "bits", "counts")
     return dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "id").mapInPandas(run, "a long, b long")
 
 
@@ -231,7 +262,7 @@ def near_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of every set that similar pairs link to a lesser root; ``sets`` (id, fp, n, bits) and ``texts`` (id, text) have a row for each different set."""
+    """(node, root) of every set that similar pairs link to a lesser root; ``sets`` (id, fp, n, bits, counts) and ``texts`` (id, text) have a row for each different set."""
     near = near_sets(sets, texts)
     roots = components(near)
 
@@ -261,7 +292,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     members = met.filter("token is not null").select("token", F.col("a").alias("id"), "n", "pos")
     roots = components(found)
     if members.limit(1).count():
-        second = written(across(placed(members, roots).join(sets.select("id", "bits"), "id")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+        second = written(across(placed(members, roots).join(sets.select("id", "bits", "counts"), "id")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
         roots = components(found.unionByName(linked(second, sets, texts)))
         discard(second)
     discard(met)
@@ -276,14 +307,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     one meanwhile, so no name of theirs can clash. An empty table gives no rows.
     """
 
-    @F.pandas_udf("kept_set long, fp long, n int, bits binary")
+    @F.pandas_udf("kept_set long, fp long, n int, bits binary, counts binary")
     def mark(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             hashes = [shingle_hashes(t, SHINGLE_WORDS) for t in batch]
             sets = list(map(np.unique, hashes))
             own = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
             fp = np.fromiter(map(majority, hashes), np.uint64, len(hashes)).view(np.int64)
-            yield pd.DataFrame({"kept_set": own, "fp": fp, "n": list(map(len, sets)), "bits": list(map(sketch, sets))})
+            yield pd.DataFrame({"kept_set": own, "fp": fp, "n": list(map(len, sets)), "bits": list(map(sketch, sets)), "counts": list(map(tally, sets))})
 
     keys = ["kept_null", "kept_id", "kept_hash"]
     text = F.col("row.text").cast("string")
@@ -291,9 +322,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     named = rows.select("row", F.struct(F.col("row.doc_id").isNull().alias("kept_null"), F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-1)).alias("kept_id"), F.xxhash64(text).alias("kept_hash")).alias("k"), mark(text).alias("m"))
     first = F.min(F.struct(*keys)).alias("k")
     # rows move once, by their sets, of which each task sends one row; what joins them later comes to their buckets
-    unique = bucketed(named.groupBy("m.kept_set").agg(F.min("k").alias("k"), F.min_by("row", "k").alias("row"), *(F.min(f"m.{c}").alias(c) for c in ("fp", "n", "bits"))), "unique", "kept_set")
-    firsts = written(unique.select("kept_set", "fp", "n", "bits", "k.*"), "firsts")
-    sets = firsts.select(F.col("kept_set").alias("id"), "fp", "n", "bits")
+    unique = bucketed(named.groupBy("m.kept_set").agg(F.min("k").alias("k"), F.min_by("row", "k").alias("row"), *(F.min(f"m.{c}").alias(c) for c in ("fp", "n", "bits", "counts"))), "unique", "kept_set")
+    firsts = written(unique.select("kept_set", "fp", "n", "bits", "counts", "k.*"), "firsts")
+    sets = firsts.select(F.col("kept_set").alias("id"), "fp", "n", "bits", "counts")
     roots = similar_sets(sets, unique.select(F.col("kept_set").alias("id"), F.col("row.text").cast("string").alias("text")))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # a root is no node of its own
     placed = firsts.join(roots.withColumnRenamed("node", "kept_set"), "kept_set")

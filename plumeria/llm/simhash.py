@@ -215,11 +215,43 @@ def _met(rows: DataFrame, keys: list[str], hot: int | None) -> DataFrame:
     return met.mapInPandas(run, "a long, b long, block long, variant long, fp long")
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node of the links (a, b) to the least one that they reach, instead of all of them."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(root, high[apart], low[apart])
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
+def spanned(edges: DataFrame) -> DataFrame:
+    """Links (a, b) of the same components as ``edges`` (a, b), a > b: each task has all links of its nodes a, and keeps one for each node.
+
+    In a group of near copies most members meet with several others, in as many rows; what goes on grows
+    with the nodes only.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [(batch["a"].to_numpy(), batch["b"].to_numpy()) for batch in batches]
+        if held:
+            a, b = _spanning(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return edges.repartition("a").mapInPandas(run, "a long, b long")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of every node of ``pairs`` (a, b): alternating large-star and small-star steps until none changes a link.
 
     Each step moves every link towards its component's least node; a link that a step made twice is
-    kept once. The links are written in the shared folder after each round.
+    kept once. Before, each task keeps only links that span what its own links join. The links are written in the shared folder after each round.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -235,7 +267,7 @@ def components(pairs: DataFrame) -> DataFrame:
             out = out.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.filter("a != b").distinct()
 
-    edges, before = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links"), None
+    edges, before = written(spanned(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b")).distinct(), "links"), None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(20,0)"))).first()
         if now[0] == 0 or now == before:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from plumeria.llm import near_copies
+from plumeria.llm import near_copies, simhash
 
 from .conftest import ODD, ODD_IDS
 
@@ -114,3 +114,29 @@ def test_groups_come_whole_from_any_batches():
         batches = [frame.iloc[:0], *(frame.iloc[at : at + size] for at in range(0, 200, size))]
         got = [v[s:e].tolist() for (_, _, v), starts, ends in near_copies._groups(iter(batches), ["k", "j", "v"], 2) for s, e in zip(starts, ends, strict=True)]
         assert got == want
+
+
+def test_tallies_tell_long_sets_apart_and_lose_no_similar_pair(spark):
+    """Sketches of sets of 3,000 are half full by chance, so they tell nothing; a common passage of 100 is no likeness."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    passage = draw(100)
+    sets = [np.unique(np.concatenate([passage, draw(2_900)])) for _ in range(40)]
+    sets += [np.unique(np.concatenate([s[k : 2_990], draw(4 * k)])) for k, s in enumerate(sets)]
+    rows = [(1, k, len(s), 0, k, bytearray(near_copies.sketch(s)), bytearray(near_copies.tally(s))) for k, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "token long, id long, n int, pos int, root long, bits binary, counts binary")
+    alike = {(a, b) for a in range(80) for b in range(a) if near_copies.similar(sets[a], sets[b])}
+    assert {(r.a, r.b) for r in near_copies.across(members).collect()} == alike == {(k + 40, k) for k in range(40)}
+    assert len(near_copies.across(members.drop("counts")).collect()) > 1_000
+    assert near_copies.tally(sets[0][:511]) is None
+
+
+def test_links_of_a_dense_group_become_one_for_each_node(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 400, (2, 20_000))
+    pairs = spark.createDataFrame(pd.DataFrame({"a": np.maximum(a, b) * 3, "b": np.minimum(a, b) * 3})).filter("a != b")
+    kept = simhash.spanned(pairs.repartition(3)).collect()
+    assert all(r.a > r.b for r in kept) and len(kept) <= 4 * 400
+    assert {(r.node, r.root) for r in simhash.components(pairs).collect()} == {(3 * k, 0) for k in range(1, 400)}
+    chain = pd.DataFrame({"a": np.arange(1, 3_000), "b": np.arange(2_999)}).sample(frac=1, random_state=1)
+    assert {r.root for r in simhash.components(spark.createDataFrame(chain)).collect()} == {0}
