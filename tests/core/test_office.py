@@ -176,3 +176,19 @@ def test_batch_takes_an_encoder(spark, tmp_path):
     assert done["data"].count() == 3
     assert spark.read.parquet(str(tmp_path / "r" / "embeddings")).selectExpr("size(embedding) AS n").distinct().first().n == 16
     assert e.vector_ledger(raw, e.HashedEncoder(16), str(tmp_path / "r" / "vectors")).read().count() == 2
+
+
+def test_escapes_in_a_row_are_read_at_once(monkeypatch):
+    """Also where some of them are substitutes of a character before, silent, or broken."""
+    body = rb"\uc2 a\u233\'e9\'e9\'e8b{\*\x \'41\'42}\'41\'zz\'4"
+    assert office.rtf_text(rb"{\rtf1\ansi " + body + b"}").startswith("aéèbA")
+    matches = []
+
+    class Counted:
+        def match(self, *args):
+            matches.append(args)
+            return pattern.match(*args)
+
+    pattern = office._RTF
+    monkeypatch.setattr(office, "_RTF", Counted())
+    assert office.rtf_text(rb"{\rtf1 " + rb"\'41" * 5_000 + b"}") == "A" * 5_000 and len(matches) < 10
