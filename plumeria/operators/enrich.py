@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,12 +104,18 @@ def analyse(lookup: DataFrame, classifier: Classifier, config: EnrichConfig = En
     names = ("stance", "key_quote", "rationale", "themes")
     waiting = lookup.filter("stance is null").select("lookup_id", "truncated_text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches(frames, config.batch_size):
-            yield pd.DataFrame([{"lookup_id": i} | classify_text(classifier, t, config) for i, t in zip(part["lookup_id"], part["truncated_text"], strict=True)])
+    def few(arrived: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in arrived:  # texts become Python's a few at a time
+            for at in range(0, batch.num_rows, config.batch_size):
+                yield batch.slice(at, config.batch_size).to_pandas()
+
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches(few(arrived), config.batch_size):
+            rows = [{"lookup_id": i} | classify_text(classifier, t, config) for i, t in zip(part["lookup_id"], part["truncated_text"], strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.string()) for n in ("lookup_id", *names)]))
 
     waiting = waiting.repartition(concurrency) if concurrency else waiting
-    found = waiting.mapInPandas(run, "lookup_id string, " + ", ".join(f"{n} string" for n in names))
+    found = waiting.mapInArrow(run, "lookup_id string, " + ", ".join(f"{n} string" for n in names))
     found = found.select("lookup_id", *(F.col(n).alias(f"_{n}") for n in names))
     return lookup.join(found, "lookup_id", "left").withColumns({n: F.coalesce(n, f"_{n}") for n in names}).drop(*(f"_{n}" for n in names))
 

@@ -91,3 +91,11 @@ def test_checkpoint_adds_only_new_rows(spark, tmp_path):
     assert readers.checkpoint(spark, path, df.schema).count() == 6
     with pytest.raises(Exception, match="lookup_id"):  # a table without the key is no first batch
         writers.checkpoint(df.drop("lookup_id"), path)
+
+
+def test_texts_reach_a_classifier_a_few_at_a_time(spark):
+    """An Arrow batch is cut before its texts become Python's; all rows get the classifier's answers."""
+    rows = spark.range(25).selectExpr("concat('L', id) AS lookup_id", "if(id = 7, null, concat('we support ', id)) AS truncated_text", *(f"cast(null AS string) AS {n}" for n in enrich.NAMES))
+    found = enrich.analyse(rows, enrich.KeywordClassifier(), enrich.EnrichConfig(batch_size=4))
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    assert {r.lookup_id: r.stance for r in found.collect()} == {f"L{k}": "" if k == 7 else "For" for k in range(25)}
