@@ -247,6 +247,11 @@ def spanned(edges: DataFrame) -> DataFrame:
     return edges.repartition("a").mapInPandas(run, "a long, b long")
 
 
+def leasts(both: DataFrame) -> DataFrame:
+    """(u, m, salts) of each node u of ``both`` (u, v, salt): the least of it and its neighbours, and only the salts that its links have, so that they make no more rows than links."""
+    return both.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("salt").alias("salts")).withColumn("m", F.least("m", "u"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of every node of ``pairs`` (a, b): alternating large-star and small-star steps until none changes a link.
 
@@ -258,9 +263,9 @@ def components(pairs: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        out = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(dealt, ["u", "salt"])
+        both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+        least = leasts(both)
+        out = both.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"])
         if large:
             out = out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:

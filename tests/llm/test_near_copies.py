@@ -140,3 +140,9 @@ def test_links_of_a_dense_group_become_one_for_each_node(spark):
     assert {(r.node, r.root) for r in simhash.components(pairs).collect()} == {(3 * k, 0) for k in range(1, 400)}
     chain = pd.DataFrame({"a": np.arange(1, 3_000), "b": np.arange(2_999)}).sample(frac=1, random_state=1)
     assert {r.root for r in simhash.components(spark.createDataFrame(chain)).collect()} == {0}
+
+
+def test_salts_make_no_more_rows_than_links(spark):
+    both = spark.createDataFrame([(u, v, v % simhash.SALTS) for u, v in [(5, 2), (5, 7), (9, 1), (1, 9), *((3, k) for k in range(100, 400))]], "u long, v long, salt long")
+    got = {r.u: (r.m, len(r.salts)) for r in simhash.leasts(both).collect()}
+    assert got == {5: (2, 2), 9: (1, 1), 1: (1, 1), 3: (3, simhash.SALTS)}
