@@ -242,6 +242,26 @@ def test_nearest_across_blocks(spark):
             assert np.isclose(got[i][1], d.min()) and np.isclose(d[got[i][0]], d.min())
 
 
+def test_blocks_are_read_by_tasks_and_trees_made_once(spark, monkeypatch):
+    """No join sends blocks to their visitors, and deeper levels take their parts of the first tree."""
+    x = grouped(260, 4, 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    active = df.selectExpr("'' AS g", "id", "1.0D AS w", "embedding AS v")
+    assert "Join" not in ward._met(ward._blocks(active, 260, 40))._jdf.queryExecution().executedPlan().toString()
+    made, real = [], ward.merges
+    monkeypatch.setattr(ward, "merges", lambda *a: made.append(a) or real(*a))
+    codes = {r.cluster_id for r in clusters.ward_clusters(df, most=60, block=40).collect()}
+    assert len(made) == 1 and max(map(len, codes)) == 3
+
+
+def test_equal_prices_in_a_circle_end(spark):
+    """Three clusters, each the next one's nearest: the cheapest merge is made, and one task's rounds end as well."""
+    met = spark.createDataFrame([("", 1, 1.0, [0.0], 2, 1.0), ("", 2, 1.0, [4.0], 3, 1.0), ("", 3, 1.0, [8.0], 1, 1.0)], "g string, id long, w double, v array<double>, who long, price double")
+    paired = ward._paired(met)
+    assert {r.n for r in paired.collect()} == {1}
+    assert {(r.a.id, r.b.id, r.n) for r in ward._cheapest(paired).collect()} == {(1, 2, 2), (3, 3, 1)}
+
+
 def test_plane_keeps_distances(spark):
     x = np.random.default_rng(2).normal(size=(20, 2)) @ np.array([[3, 1, 0], [0, 1, 2.0]])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
