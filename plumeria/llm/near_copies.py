@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bucketed, discard, written
-from .simhash import SEED, components, links, majority, shingle_hashes
+from .simhash import SEED, _Forest, components, links, majority, shingle_hashes
 
 SHINGLE_WORDS = 5
 #: The least similarity, as a fraction: 4 / 5.
@@ -39,8 +39,10 @@ LARGE, HUBS = 64, 3
 TEXTS_AT_ONCE = 1_000
 #: Members of such a group that are compared in one cell with each other, and with those of another block; about.
 ACROSS = 4_096
-#: Pairs of a large group whose sketches are compared at once, about (64 MB for each side).
-PAIRS_AT_ONCE = 1_000_000
+#: Pairs of a large group whose sketches are compared at once, about (16 MB for each side).
+PAIRS_AT_ONCE = 250_000
+#: Links of large groups' forests beyond which another forest is asked for before all other pairs are.
+MANY = 1_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -184,13 +186,14 @@ def meetings(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "id").mapInPandas(run, "token long, a long, b long, n int, pos int")
 
 
-def across(members: DataFrame, block: int = ACROSS) -> DataFrame:
+def across(members: DataFrame, block: int = ACROSS, spanning: bool = False) -> DataFrame:
     """(a, b) of the pairs of ``members`` (token, id, n, pos, root, bits, and counts if known) that share a token, have different roots and can be similar.
 
     Texts that have a common passage but little else meet here in large groups, so their sketches are compared
     before a pair becomes a row, and the tallies (counts) of those that are too long for a sketch to tell. A group of over ``block`` members is cut into blocks of about so many, and each
     pair of blocks is a cell of its own, so that many tasks share the group; of a cell, some ``PAIRS_AT_ONCE``
-    are looked at together.
+    are looked at together. With ``spanning``, a cell gives only pairs that would join its roots if all were
+    similar, closer sketches first: fewer than the roots, where near copies of one text make a pair of any two.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +205,7 @@ def across(members: DataFrame, block: int = ACROSS) -> DataFrame:
                 joined = of == sizes.argmax()  # pairs within the largest are linked already
                 order = np.concatenate([np.flatnonzero(~joined), np.flatnonzero(joined)]) + s
                 words = _words(bits[s:e])
-                rest, step = len(order) - int(joined.sum()), max(1, PAIRS_AT_ONCE // len(order))
+                rest, step, forest = len(order) - int(joined.sum()), max(1, PAIRS_AT_ONCE // len(order)), _Forest()
                 for at in range(0, rest, step):
                     i, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + step, rest)), np.arange(at, len(order)), indexing="ij"))
                     i, j = order[i[i < j]], order[j[i < j]]
@@ -214,8 +217,14 @@ def across(members: DataFrame, block: int = ACROSS) -> DataFrame:
                     close = _close(words[i - s], words[j - s], both)
                     i, j, both = i[close], j[close], both[close]
                     close = _alike(counts[i].tolist(), counts[j].tolist(), both)
-                    if close.any():
-                        yield _pairs(sets, i[close], j[close])
+                    i, j = i[close], j[close]
+                    if spanning and len(i):
+                        nearer = np.argsort(np.bitwise_count(words[i - s] ^ words[j - s]).sum(axis=1, dtype=np.int64), kind="stable")
+                        i, j = i[nearer], j[nearer]
+                        kept = [forest.join(a, b) for a, b in zip(root[i].tolist(), root[j].tolist(), strict=True)]
+                        i, j = i[kept], j[kept]
+                    if len(i):
+                        yield _pairs(sets, i, j)
 
     if "counts" not in members.columns:
         members = members.withColumn("counts", F.lit(None).cast("binary"))
@@ -292,9 +301,20 @@ def similar_sets(sets: DataFrame, texts: DataFrame) -> DataFrame:
     members = met.filter("token is not null").select("token", F.col("a").alias("id"), "n", "pos")
     roots = components(found)
     if members.limit(1).count():
-        second = written(across(placed(members, roots).join(sets.select("id", "bits", "counts"), "id")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-        roots = components(found.unionByName(linked(second, sets, texts)))
-        discard(second)
+        tried, spanning = first, True
+        while True:  # forests of large groups as long as they find many links; then all pairs that these leave apart
+            asked = across(placed(members, roots).join(sets.select("id", "bits", "counts"), "id"), spanning=spanning)
+            pairs = written(asked.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            more = linked(pairs, sets, texts)
+            n = more.count()
+            if n:
+                found = found.unionByName(more)
+                roots = components(found)
+            tried = tried.unionByName(pairs)
+            if not spanning:
+                break
+            spanning = n >= MANY
+        discard(tried)
     discard(met)
     discard(first)
     return roots

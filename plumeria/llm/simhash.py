@@ -95,10 +95,12 @@ class _Forest:
             x = up[x]
         return x
 
-    def join(self, x: int, y: int) -> None:
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
         x, y = self.root(x), self.root(y)
         if x != y:
             self.up[max(x, y)] = min(x, y)
+        return x != y
 
 
 def _links(group: np.ndarray, forest: _Forest) -> None:

@@ -104,6 +104,17 @@ def test_large_groups_by_brute_force(spark):
     assert got == can and alike <= got and alike and len(got) < len(apart)
 
 
+def test_forests_of_near_copies_grow_with_the_texts(spark):
+    """Any two of 300 near copies make a pair; their forest has fewer rows than they, and joins all of them; so does the whole stage."""
+    base = np.unique(np.random.default_rng(3).integers(0, 2**63, 200, dtype=np.uint64))
+    sets = [np.delete(base, k % len(base)) for k in range(300)]
+    rows = [(1, k, len(s), 0, k, bytearray(near_copies.sketch(s))) for k, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "token long, id long, n int, pos int, root long, bits binary")
+    assert near_copies.across(members).count() == 300 * 299 // 2
+    pairs = near_copies.across(members, spanning=True)
+    assert pairs.count() == 299 and {r.root for r in simhash.components(pairs).collect()} == {0}
+
+
 def test_groups_come_whole_from_any_batches():
     rng = np.random.default_rng(7)
     keys = np.sort(rng.integers(0, 12, 200))
