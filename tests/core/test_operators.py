@@ -254,6 +254,23 @@ def test_blocks_are_read_by_tasks_and_trees_made_once(spark, monkeypatch):
     assert len(made) == 1 and max(map(len, codes)) == 3
 
 
+def test_hubs_take_few_rounds(spark, monkeypatch):
+    """A hub that each vector in turn comes nearest to, and vectors without any groups: few rounds, and exact Ward's prices."""
+    rng = np.random.default_rng(6)
+    sphere = rng.normal(size=(240, 12))
+    sphere /= np.sqrt((sphere**2).sum(axis=1, keepdims=True))
+    hub = np.concatenate([np.zeros((1, 60)), np.diag(np.linspace(1, 2, 60))])
+    rounds, real = [], ward._blocks
+    monkeypatch.setattr(ward, "_blocks", lambda *a: rounds.append(a) or real(*a))
+    for x, weight, most in ((hub, np.array([1000.0] + [1.0] * 60), 10), (sphere, np.ones(240), 20)):
+        points = spark.createDataFrame([("", i, float(w), v.tolist()) for i, (w, v) in enumerate(zip(weight, x, strict=True))], "g string, id long, w double, v array<double>")
+        rounds.clear()
+        tree = ward.merges(points, most, 30).collect()
+        linkage = clusters.ward_linkage(x, weight)
+        assert np.allclose(sorted(r.price for r in tree), linkage[:, 2] ** 2 / 2) and len({r.child for r in tree}) == len(x) - 1
+        assert len(rounds) <= 14
+
+
 def test_equal_prices_in_a_circle_end(spark):
     """Three clusters, each the next one's nearest: the cheapest merge is made, and one task's rounds end as well."""
     met = spark.createDataFrame([("", 1, 1.0, [0.0], 2, 1.0), ("", 2, 1.0, [4.0], 3, 1.0), ("", 3, 1.0, [8.0], 1, 1.0)], "g string, id long, w double, v array<double>, who long, price double")
