@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from plumeria.operators import clusters, filters, silhouette
+from plumeria.operators import clusters, filters, silhouette, ward
 from plumeria.operators.filters import QueryOptions
 from plumeria.operators.pages import Pages, pages
 
@@ -50,3 +50,17 @@ def test_best_number_equals_the_local_search(spark):
     linkage = clusters.ward_linkage(x)
     assert all(np.isclose(s, clusters.silhouette(x, clusters.cut(linkage, 300, k))) for k, s in tried.items())
     assert silhouette.best_number(df.limit(0))[0] == 0
+
+
+def test_best_number_with_a_hub_takes_few_rounds(spark, monkeypatch):
+    """Sixty vectors that come nearest to a hub of 200 equal ones, one after another: few rounds, and the silhouettes of exact Ward."""
+    x = np.concatenate([np.zeros((1, 60)), np.diag(np.linspace(1, 2, 60))])
+    weight = np.array([200] + [1] * 60)
+    df = spark.createDataFrame([(v.tolist(),) for v in np.repeat(x, weight, axis=0)], "embedding array<double>")
+    rounds, real = [], ward._blocks
+    monkeypatch.setattr(ward, "_blocks", lambda *a: rounds.append(a) or real(*a))
+    _, tried = silhouette.best_number(df, coarse=(3, 5), around=1, most=10, block=30)
+    assert 0 < len(rounds) <= 14
+    linkage = clusters.ward_linkage(x, weight)
+    assert set(tried) >= {2, 3, 4, 5} or set(tried) >= {3, 4, 5, 6}
+    assert all(np.isclose(s, clusters.silhouette(np.repeat(x, weight, axis=0), np.repeat(clusters.cut(linkage, 61, k), weight))) for k, s in tried.items())
